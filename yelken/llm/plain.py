@@ -23,15 +23,15 @@ _LATIN = set(TURKISH)
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile("[" + "".join(LOOKALIKES) + "]")
 _DOT = re.compile("([iIİ])̇")
-_LOWER = {ord("I"): "ı", ord("İ"): "i"}
-_ASCII = str.maketrans("çğıöşüâîûÇĞİÖŞÜÂÎÛI", "cgiosuaiuCGIOSUAIUI")
-_SPELLED = re.compile(r"\b(?:[^\W\d_] ){2,}[^\W\d_]\b")
+_ODD = re.compile("[^\x00-\x7fçğıöşüâîûÇĞİÖŞÜÂÎÛ‘’“”–—…•·©®™€₺°]")
+_ACCENTS = tuple(zip("çğıöşüâîû", "cgiosuaiu"))
+
 
 
 def composed(text: str) -> str:
     """Compatibility forms and separate accents resolved, invisible characters dropped, odd spaces plain; foreign letters stay.
     Emoji lose their joiners here: for comparing, not for output."""
-    if text.isascii():
+    if text.isascii() or not _ODD.search(text):
         return text
     if "̇" in text:
         text = _DOT.sub(lambda m: "i" if m[1] == "i" else "İ", text)
@@ -51,9 +51,15 @@ def plain(text: str) -> str:
 
 def lower_tr(text: str) -> str:
     """Turkish lower case."""
-    return text.translate(_LOWER).lower()
+    return text.replace("I", "ı").replace("İ", "i").lower()
 
 
 def folded(text: str) -> str:
     """Plain, lower case, without accents: only for comparing (ı = i)."""
-    return plain(text).translate(_ASCII).lower().replace("̇", "")
+    text = plain(text)
+    if text.isascii():
+        return text.lower()
+    text = text.replace("İ", "i").lower()
+    for accented, bare in _ACCENTS:
+        text = text.replace(accented, bare)
+    return text
