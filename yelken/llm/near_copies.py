@@ -1,6 +1,6 @@
 """Near-duplicate records with small edits (problem 7): prefix-tree join over globally ordered n-gram sets.
 
-1. Every record becomes the set of its word n-grams; records with the same set are joined to one representative.
+1. Every record becomes the set of its word n-grams; a digest of the set stands for all records that share it.
 2. The global order is rare first. How often an n-gram occurs is read from a table of fixed size (counts by hash bucket over all
    records); any order that all records share keeps the join exact.
 3. The ordered sets are stored in a trie whose first edges, the n-grams, are spread over shards. A record enters it below each
@@ -29,8 +29,8 @@ from yelken.session import stored, table
 
 WORDS, SIMILARITY = 5, 0.8  # defaults; p7 sets three words and one half
 TABLE_BITS = 20  # hash buckets of the count table: at most 2 ** 20 numbers reach the driver and the tasks
-BITMAP_WORDS = 8  # 64-bit words of a bitmap
-SHARD_ROWS = 4_096  # one shard of the trie for so many records
+BITMAP_WORDS = 6  # 64-bit words of a bitmap
+SHARD_ROWS = 8_192  # one shard of the trie for so many records
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -56,21 +56,17 @@ def _grams(n: int, model: BodyModel | None):
                         kept.append("\n".join(lines[k - 1] for k, q in zip(numbers, p) if q >= 0.5))
                     texts = kept
                 sets = [gram_hashes(f"{h or ''}\n{t}", n) for h, t in zip(part["__head"], texts)]
-                yield pd.DataFrame({"__key": part["__key"].to_numpy(), "grams": sets, "digest": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]})
+                yield pd.DataFrame({"key": part["__key"].to_numpy(), "grams": sets, "digest": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]})
 
     return run
 
 
 def gram_sets(df: DataFrame, key: str, text: str, head: str | None = None, n: int = WORDS, model: BodyModel | None = None) -> DataFrame:
-    """Stored (key, grams, rep): one row per distinct key; rep is the smallest key with the same set. ``head`` is text put before it;
-    with a ``model``, lines it calls furniture are left out. NULL keys and records without words give no row; of several deliveries the smallest set stands."""
+    """Stored (key, grams, digest), a row a delivery; records with the same set have the same digest. ``head`` is text put before it;
+    with a ``model``, lines it calls furniture are left out. NULL keys and records without words give no row."""
     rows = df.select(F.col(key).cast("string").alias("__key"), F.col(text).alias("__text"), (F.col(head) if head else F.lit("")).alias("__head")).where("__key is not null")
-    made = rows.mapInPandas(_grams(n, model), "__key string, grams array<bigint>, digest bigint").where("size(grams) > 0")
-    made = stored(made, "grams")
-    once = made.groupBy("__key").agg(F.min("digest").alias("digest"))
-    reps = once.groupBy("digest").agg(F.min("__key").alias("rep"))
-    named = once.join(reps, "digest").select("__key", "digest", "rep")
-    return stored(made.join(named, ["__key", "digest"]).dropDuplicates(["__key"]).select(F.col("__key").alias("key"), "grams", "rep"), "sets")
+    made = rows.mapInPandas(_grams(n, model), "key string, grams array<bigint>, digest bigint").where("size(grams) > 0")
+    return stored(made, "grams")
 
 
 def _needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
@@ -82,9 +78,13 @@ def _enter(counts: np.ndarray, shards: int, t: float):
     mask = len(counts) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entered: set[int] = set()  # of this task: copies enter once
         for pdf in batches:
             out: list[tuple] = []
-            for doc, grams in zip(pdf["doc"], pdf["grams"]):
+            for doc, grams in zip(pdf["digest"], pdf["grams"]):
+                if doc in entered:
+                    continue
+                entered.add(doc)
                 grams = np.asarray(grams, np.int64)
                 n = len(grams)
                 seen = counts[grams & mask]
@@ -109,6 +109,7 @@ def _below(t: float, most: int = 1_000_000):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        pdf = pdf.drop_duplicates("doc")
         if len(pdf) < 2:
             return none
         doc, size = pdf["doc"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
@@ -157,38 +158,36 @@ def gram_rank(gram: np.ndarray) -> np.ndarray:
 
 
 def similar_sets(sets: DataFrame, similarity: float = SIMILARITY, table_bits: int = TABLE_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(rep_a, rep_b, similarity), rep_a < rep_b: all pairs of representatives whose sets have a Jaccard similarity of at least ``similarity``."""
-    reps = sets.where("key = rep").select("key", F.xxhash64("key").alias("doc"), "grams")
-    buckets = reps.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit((1 << table_bits) - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+    """(a, b, similarity): all pairs of different digests whose sets have a Jaccard similarity of at least ``similarity``."""
+    buckets = sets.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit((1 << table_bits) - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     counted = buckets.toPandas()  # at most 2 ** table_bits rows
     counts = np.zeros(1 << table_bits, np.uint16)
     counts[counted["bucket"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), 65535)
     del counted
-    shards = max(12, -(-reps.count() // shard_rows))
-    entered = reps.select("doc", "grams").mapInPandas(_enter(counts, shards, similarity), "shard int, doc bigint, n int, bitmap binary, grams binary, places binary")
+    shards = max(12, -(-sets.count() // shard_rows))
+    entered = sets.select("digest", "grams").mapInPandas(_enter(counts, shards, similarity), "shard int, doc bigint, n int, bitmap binary, grams binary, places binary")
     pairs = stored(entered.groupBy("shard").applyInPandas(_below(similarity), "a bigint, b bigint").distinct(), "candidates")
-    used = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    some = reps.join(used, "doc", "left_semi")
-    left = some.select(F.col("doc").alias("a"), F.col("key").alias("rep_a"), F.col("grams").alias("ga"))
-    right = some.select(F.col("doc").alias("b"), F.col("key").alias("rep_b"), F.col("grams").alias("gb"))
+    used = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    some = stored(sets.groupBy("digest").agg(F.first("grams").alias("grams")).join(used, "digest", "left_semi"), "compared")
+    left, right = some.select(F.col("digest").alias("a"), F.col("grams").alias("ga")), some.select(F.col("digest").alias("b"), F.col("grams").alias("gb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
-    exact = both.withColumn("similarity", F.col("o") / (F.size("ga") + F.size("gb") - F.col("o"))).where((F.col("similarity") >= similarity - 1e-12) & (F.col("rep_a") != F.col("rep_b")))
-    return exact.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "similarity")
+    exact = both.withColumn("similarity", F.col("o") / (F.size("ga") + F.size("gb") - F.col("o")))
+    return exact.where(F.col("similarity") >= similarity - 1e-12).select("a", "b", "similarity")
 
 
 def near_copies(df: DataFrame, key: str = "id", text: str = "content", head: str | None = "title", n: int = WORDS, similarity: float = SIMILARITY, model: BodyModel | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members: key, rep; links: rep_a, rep_b, similarity): every record with the representative of its copies, and all links between
-    representatives. Copies aren't expanded into pairs."""
+    """(members: key, digest; links: a, b, similarity): every distinct key with the digest of its set, and all links between digests. Copies
+    aren't expanded into pairs. Of several deliveries of a key the one with the smallest digest stands."""
     sets = gram_sets(df, key, text, head, n, model)
-    return sets.select("key", "rep"), similar_sets(sets, similarity)
+    members = stored(sets.groupBy("key").agg(F.min("digest").alias("digest")), "members")
+    return members, similar_sets(sets, similarity)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows of news that tell the same story, copies expanded as TESTDATA.md asks."""
     news = table(spark, sf_dir, "news")
     members, links = near_copies(news, n=3, similarity=0.5, model=train_body_model(None, news))
-    links = stored(links.select("rep_a", "rep_b"), "links")
-    several = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"))
-    left, right = members.select(F.col("key").alias("x"), F.col("rep").alias("rep_a")), members.select(F.col("key").alias("y"), F.col("rep").alias("rep_b"))
-    pairs = links.unionByName(several).join(left, "rep_a").join(right, "rep_b").where((F.col("rep_a") != F.col("rep_b")) | (F.col("x") < F.col("y")))
+    several = members.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("a"), F.col("digest").alias("b"))
+    left, right = members.select(F.col("key").alias("x"), F.col("digest").alias("a")), members.select(F.col("key").alias("y"), F.col("digest").alias("b"))
+    pairs = links.select("a", "b").unionByName(several).join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
