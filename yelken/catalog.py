@@ -1,17 +1,301 @@
-"""Registry of the core queries and of the SQL they are checked with."""
+"""Registry of the core queries and of the SQL they are checked with. Both sides read whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from yelken.operators import timestamps
+from yelken.functions import text, urls
+from yelken.operators import classify as C
+from yelken.operators import nearest, relational, timestamps
+from yelken.session import table
+from yelken.streaming import ledger
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": timestamps.p6_found}
+_VALUES = ", ".join(f"('{c}', '{w}', {n}, {k})" for c, w, n, k in C.keyword_rows())
+_RANKS = ", ".join(f"('{c}', {p})" for c, p in C.PRIORITY.items())
+_MATCH = (
+    "trim(regexp_replace(replace(translate(lower(replace(replace(regexp_replace(translate(nfc_normalize(coalesce({0}, '')), "
+    "'’‘ʼ`´' || chr(160) || chr(8201) || chr(8239), '''''''''''' || '   '), '[​-‏⁠﻿]', '', 'g'), 'I', 'ı'), 'İ', 'i')), 'âîû', 'aiu'), '''', ''), '[^0-9a-zçğıöşü]+', ' ', 'g'))"
+)
+_SCORES = f"""WITH kw(category, keyword, weight, ord) AS (VALUES {_VALUES}), ranks(category, rnk) AS (VALUES {_RANKS}),
+ d AS (SELECT DISTINCT ON (id) id, ' ' || replace({_MATCH.format("title")}, ' ', '  ') || ' ' AS t, ' ' || replace({_MATCH.format("content")}, ' ', '  ') || ' ' AS b FROM news),
+ k AS (SELECT *, CASE WHEN keyword LIKE '%$' THEN ' ' || replace(rtrim(keyword, '$'), ' ', '  ') || ' ' ELSE ' ' || replace(keyword, ' ', '  ') END AS f FROM kw),
+ h AS (SELECT id, category, keyword, weight, least(3, (length(t) - length(replace(t, f, ''))) // length(f)) AS ht, least(3, (length(b) - length(replace(b, f, ''))) // length(f)) AS hb FROM d, k),
+ s AS (SELECT id, category, sum(weight * (2 * ht + hb)) AS score, bool_or(weight >= 3 AND ht + hb > 0) AS anchored FROM h WHERE ht + hb > 0 GROUP BY 1, 2),
+ e AS (SELECT *, max(score) OVER (PARTITION BY id) AS top FROM s WHERE anchored AND score >= 4),
+ c AS (SELECT e.*, rnk, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY rnk) AS r FROM e JOIN ranks USING (category) WHERE score >= 0.6 * top),
+ cls AS (SELECT d.id, c.category, c.score, c.n AS n_candidates FROM d LEFT JOIN c ON c.id = d.id AND r = 1)
+"""
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _news(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return table(spark, d, "news").select("id", *cols).dropDuplicates(["id"])
+
+
+_ONE = "(SELECT DISTINCT ON (id) * FROM news)"
+
+
+@_query(f"SELECT id, {_MATCH.format('title')} AS matching FROM {_ONE}")
+def normalize_titles(spark, d):
+    return _news(spark, d, "title").select("id", text.for_matching(F.col("title")).alias("matching"))
+
+
+@_query(f"SELECT id, trim(regexp_replace(translate({_MATCH.format('content')}, 'çğıöşü', 'cgiosu'), ' +', ' ', 'g')) AS folded FROM {_ONE}")
+def ascii_fold_news(spark, d):
+    return _news(spark, d, "content").select("id", F.translate(text.for_matching(F.col("content")), "çğıöşü", "cgiosu").alias("folded"))
+
+
+def _hits(spark, d):
+    return C.keyword_hits(_news(spark, d, "title", "content"), "id", "title", "content")
+
+
+@_query(_SCORES + "SELECT category, keyword, sum(hits)::BIGINT AS hits, count(DISTINCT id) AS stories FROM (SELECT id, category, rtrim(keyword, '$') AS keyword, ht + hb AS hits FROM h) WHERE hits > 0 GROUP BY 1, 2")
+def keyword_matches(spark, d):
+    return _hits(spark, d).groupBy("category", "keyword").agg(F.sum("hits").alias("hits"), F.countDistinct("id").alias("stories"))
+
+
+@_query(_SCORES + "SELECT id, category, score::BIGINT AS score, anchored FROM s")
+def keyword_scores(spark, d):
+    return C.category_scores(_hits(spark, d), "id")
+
+
+def _classified(spark, d):
+    return C.classify(table(spark, d, "news").select("id", "title", "content"), "id", "title", "content")
+
+
+@_query(_SCORES + "SELECT id, category, score::BIGINT AS score, n_candidates::INT AS n_candidates FROM cls")
+def classify_news(spark, d):
+    return _classified(spark, d)
+
+
+@_query(_SCORES + "SELECT r.category, count(cls.id) AS n, sum(count(cls.id)) OVER ()::BIGINT AS total FROM ranks r LEFT JOIN cls USING (category) GROUP BY 1")
+def category_stats(spark, d):
+    dim = spark.createDataFrame(list(C.PRIORITY.items()), "category string, rnk int").select("category")
+    n = _classified(spark, d).where("category is not null").groupBy("category").agg(F.count("*").alias("n"))
+    return dim.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n")).withColumn("total", F.sum("n").over(W.partitionBy()))
+
+
+@_query(_SCORES + "SELECT n.type AS old_type, cls.category AS new_type, count(*) AS n FROM (SELECT DISTINCT ON (id) id, type FROM news) n JOIN cls USING (id) WHERE n.type IS DISTINCT FROM cls.category GROUP BY 1, 2")
+def reclassify_diff(spark, d):
+    both = _news(spark, d, "type").join(_classified(spark, d), "id")
+    return both.where(~F.col("type").eqNullSafe(F.col("category"))).groupBy(F.col("type").alias("old_type"), F.col("category").alias("new_type")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH kw(category, keyword, weight, ord) AS (VALUES {_VALUES}) SELECT category, weight, string_agg(rtrim(keyword, '$'), ', ' ORDER BY ord) AS keywords FROM kw GROUP BY 1, 2")
+def keyword_report(spark, d):
+    kw = spark.createDataFrame(C.keyword_rows(), "category string, keyword string, weight int, ord int")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "keyword"))), lambda x: F.rtrim(x["keyword"], F.lit("$")))
+    return kw.groupBy("category", "weight").agg(F.array_join(ordered, ", ").alias("keywords"))
+
+
+@_query(
+    f"""WITH l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM {_ONE}),
+ c AS (SELECT id, pos, trim(regexp_replace(regexp_replace(regexp_replace(line, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Z}}\\s\\x{{200C}}\\x{{200D}}.,;:!?''"()\\-/%&+₺]', ' ', 'g'), '(!{{3,}}|\\?{{3,}}|\\.{{3,}}|,{{3,}}|;{{3,}}|:{{3,}})', '!', 'g'), '[ \\t]+', ' ', 'g')) AS v FROM l)
+ SELECT id, count(*) FILTER (WHERE len(string_split_regex(v, ' +')) >= 3) AS long_lines FROM c GROUP BY 1"""
+)
+def clean_line_stats(spark, d):
+    lines = _news(spark, d, "content").select("id", F.explode(F.split("content", "\n")).alias("line"))
+    v = F.trim(text.one_blank(text.allowed_characters(F.col("line"))))
+    return lines.groupBy("id").agg(F.count_if(F.size(F.split(v, " +")) >= 3).alias("long_lines"))
+
+
+@_query()
+def clean_lines(spark, d):
+    return _news(spark, d, "content").select("id", text.distinct_lines(F.col("content")).alias("cleaned"))
+
+
+_URL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^https?://[^/?#]+', ''), '[?#;].*$', ''), '/{{2,}}', '/', 'g'), '/$', '')"
+
+
+@_query(
+    f"""SELECT url, CASE WHEN regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') = regexp_replace(lower(regexp_extract(base_url, '^https?://([^/?#]+)', 1)), '^www\\.', '')
+ THEN 'https://' || regexp_extract(base_url, '^https?://([^/?#]+)', 1) || coalesce(nullif({_URL.format('url')}, ''), '/') END AS normal,
+ coalesce(try_cast(nullif(regexp_extract(url, '/(?:haber|foto|video)/(\\d{{5,}})', 1), '') AS BIGINT), try_cast(nullif(regexp_extract(regexp_replace(url, '^https?://[^/?#]+', ''), '\\d{{4,}}'), '') AS BIGINT), 0) AS article
+ FROM (SELECT DISTINCT url, site_name FROM processed_urls) JOIN sites USING (site_name)"""
+)
+def normalize_urls(spark, d):
+    rows = table(spark, d, "processed_urls").select("url", "site_name").distinct().join(table(spark, d, "sites").select("site_name", "base_url"), "site_name")
+    return rows.select("url", urls.normalize_url(F.col("url"), F.col("base_url")).alias("normal"), urls.article_id(F.col("url")).alias("article"))
+
+
+@_query(
+    """WITH p AS (SELECT site_name, url, first_seen, coalesce(try_cast(nullif(regexp_extract(url, '/(?:haber|foto|video)/(\\d{5,})', 1), '') AS BIGINT), 0) AS a FROM processed_urls WHERE site_name IS NOT NULL)
+ SELECT site_name, a AS article, arg_min(url, (length(url), first_seen, url)) AS url, count(*) AS n FROM p GROUP BY 1, 2"""
+)
+def link_dedup(spark, d):
+    rows = table(spark, d, "processed_urls").where("site_name is not null")
+    number = F.coalesce(F.nullif(F.regexp_extract("url", r"/(?:haber|foto|video)/(\d{5,})", 1), F.lit("")).try_cast("bigint"), F.lit(0))
+    return rows.groupBy("site_name", number.alias("article")).agg(F.min_by("url", F.struct(F.length("url"), "first_seen", "url")).alias("url"), F.count("*").alias("n"))
+
+
+@_query("SELECT url, arg_max(status, (updated_at, attempts, status)) AS status, max(updated_at) AS updated_at, min(first_seen) AS first_seen, count(*) AS n_rows FROM processed_urls GROUP BY 1")
+def ledger_fold(spark, d):
+    return relational.fold_latest(table(spark, d, "processed_urls"), "url", ["updated_at", "attempts", "status"], ["status", "updated_at"], {"first_seen": "first_seen"})
+
+
+@_query("SELECT site_name, status, count(*) AS n FROM processed_urls GROUP BY ROLLUP (site_name, status)")
+def status_rollup(spark, d):
+    return table(spark, d, "processed_urls").rollup("site_name", "status").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT site_name, count(*) FILTER (WHERE status = 'saved') AS saved, count(*) FILTER (WHERE status = 'merged') AS merged, count(*) FILTER (WHERE status NOT IN ('saved', 'merged')) AS skipped FROM processed_urls GROUP BY 1")
+def run_summary(spark, d):
+    s = F.col("status")
+    return table(spark, d, "processed_urls").groupBy("site_name").agg(F.count_if(s == "saved").alias("saved"), F.count_if(s == "merged").alias("merged"), F.count_if(~s.isin("saved", "merged")).alias("skipped"))
+
+
+@_query("SELECT status, count(*) AS n, min(first_seen) AS earliest FROM processed_urls GROUP BY 1")
+def status_histogram(spark, d):
+    return table(spark, d, "processed_urls").groupBy("status").agg(F.count("*").alias("n"), F.min("first_seen").alias("earliest"))
+
+
+@_query("SELECT url, status, updated_at FROM processed_urls WHERE status NOT IN ('saved', 'merged') ORDER BY updated_at DESC, url, status LIMIT 60")
+def skipped_recent(spark, d):
+    return table(spark, d, "processed_urls").where("status not in ('saved', 'merged')").orderBy(F.desc("updated_at"), "url", "status").limit(60).select("url", "status", "updated_at")
+
+
+_EARLY = """WITH p AS (SELECT site_name, url, first_seen, status = 'saved' AS fresh, status <> 'saved' AS old FROM processed_urls WHERE site_name IS NOT NULL AND status IS NOT NULL),
+ a AS (SELECT *, coalesce(sum(fresh::INT) OVER w, 0) AS island, coalesce(count(*) OVER w, 0) AS done FROM p WINDOW w AS (PARTITION BY site_name ORDER BY first_seen DESC, url, fresh ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ b AS (SELECT *, coalesce(sum(old::INT) OVER (PARTITION BY site_name, island ORDER BY first_seen DESC, url, fresh ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS streak FROM a),
+ c AS (SELECT *, max((done >= 150 OR streak >= 12)::INT) OVER (PARTITION BY site_name ORDER BY first_seen DESC, url, fresh ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM b)
+ SELECT site_name, count(*) AS scanned, sum(fresh::INT)::BIGINT AS fresh FROM c WHERE stop = 0 GROUP BY 1"""
+
+
+@_query(_EARLY)
+def early_stop(spark, d):
+    rows = table(spark, d, "processed_urls").where("site_name is not null and status is not null").select("site_name", "url", "first_seen", (F.col("status") == "saved").alias("fresh"))
+    kept = relational.early_stop(rows, "site_name", [F.desc("first_seen"), F.col("url"), F.col("fresh")], F.lit(True), ~F.col("fresh"), F.col("fresh"))
+    return kept.groupBy("site_name").agg(F.count("*").alias("scanned"), F.sum(F.col("fresh").cast("int")).alias("fresh"))
+
+
+@_query("SELECT id, type, district, title FROM (SELECT DISTINCT ON (id) * FROM news) WHERE lat IS NOT NULL AND lng IS NOT NULL AND type IN ('yangin', 'hirsizlik') AND district = 'Yeldere' ORDER BY created_at DESC, id LIMIT 500")
+def list_recent(spark, d):
+    rows = _news(spark, d, "type", "district", "title", "lat", "lng", "created_at").where("lat is not null and lng is not null and type in ('yangin', 'hirsizlik') and district = 'Yeldere'")
+    return rows.orderBy(F.desc("created_at"), "id").limit(500).select("id", "type", "district", "title")
+
+
+@_query("SELECT type, district, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM news) WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY ALL")
+def stats_by_type(spark, d):
+    return _news(spark, d, "type", "district", "lat", "lng").where("lat is not null and lng is not null").groupBy("type", "district").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT id, len(sources) AS n_sources, array_to_string([s.site_name for s in sources], ', ') AS sites FROM (SELECT DISTINCT ON (id) * FROM news) WHERE len(sources) > 1")
+def multi_source(spark, d):
+    return _news(spark, d, "sources").where(F.size("sources") > 1).select("id", F.size("sources").cast("bigint").alias("n_sources"), F.array_join(F.transform("sources", lambda s: s["site_name"]), ", ").alias("sites"))
+
+
+@_query("SELECT DISTINCT i.id FROM news_incoming i WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(sources).url AS u FROM news) s WHERE s.u = i.url)")
+def new_urls(spark, d):
+    known = table(spark, d, "news").select(F.explode("sources.url").alias("url"))
+    return table(spark, d, "news_incoming").join(known, "url", "left_anti").select("id").distinct()
+
+
+@_query(
+    """SELECT id, round(lat + 0.0011 * sqrt(k) * sin(k * 2.399963), 6) AS shown_lat, round(lng + 0.0011 * sqrt(k) * cos(k * 2.399963) / cos(lat * pi() / 180), 6) AS shown_lng
+ FROM (SELECT id, lat, lng, row_number() OVER (PARTITION BY round(lat, 5), round(lng, 5) ORDER BY created_at DESC, id) - 1 AS k FROM (SELECT DISTINCT ON (id) * FROM news) WHERE lat IS NOT NULL AND lng IS NOT NULL)"""
+)
+def marker_spread(spark, d):
+    rows = _news(spark, d, "lat", "lng", "created_at").where("lat is not null and lng is not null")
+    shown = relational.spread_markers(rows, "lat", "lng", [F.desc("created_at"), F.col("id")])
+    return shown.select("id", F.round("shown_lat", 6).alias("shown_lat"), F.round("shown_lng", 6).alias("shown_lng"))
+
+
+@_query("SELECT CASE WHEN lat IS NULL OR lng IS NULL THEN 'missing' WHEN NOT (lat BETWEEN 39.0 AND 39.3 AND lng BETWEEN 31.0 AND 31.4) THEN 'outside' END AS reason, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM news) GROUP BY 1")
+def bbox_validate(spark, d):
+    reason = relational.box_reason(F.col("lat"), F.col("lng"), 39.0, 31.0, 39.3, 31.4)
+    return _news(spark, d, "lat", "lng").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@_query(
+    """WITH q AS (SELECT o_orderkey AS k, l_linenumber AS r, l_returnflag = 'R' AS ok FROM orders JOIN lineitem ON o_orderkey = l_orderkey), w AS (SELECT k, min(r) FILTER (WHERE ok) AS winner FROM q GROUP BY 1)
+ SELECT q.k AS o_orderkey, any_value(winner) AS winner, count(*) FILTER (WHERE winner IS NULL OR r <= winner)::INT AS attempts FROM q JOIN w USING (k) GROUP BY 1"""
+)
+def geocode_waterfall(spark, d):
+    q = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return relational.waterfall(q, "o_orderkey", "l_linenumber", F.col("l_returnflag") == "R")
+
+
+@_query("SELECT a.event_id AS key_a, b.event_id AS key_b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND abs(epoch(a.ts) - epoch(b.ts)) <= 3600 AND a.event_id < b.event_id")
+def window_pairs(spark, d):
+    rows = table(spark, d, "events").withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return relational.range_pairs(rows, "event_id", "sec", 3600, ["user_id", "event_type"])
+
+
+_COS = "SELECT a.vec_id AS key_a, b.vec_id AS key_b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id"
+
+
+@_query(f"SELECT key_a, key_b, round(s, 6) AS similarity FROM ({_COS}) WHERE s >= 0.4")
+def cosine_pairs(spark, d):
+    return nearest.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.4).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query(f"SELECT key_b, arg_max(key_a, (s, -key_a)) AS key_a, round(max(s), 6) AS similarity FROM ({_COS}) WHERE s >= 0.3 GROUP BY 1")
+def best_match(spark, d):
+    return nearest.best_match(nearest.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.3)).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query()
+def greedy_merge(spark, d):
+    rows = table(spark, d, "embeddings")
+    return nearest.greedy_merge(rows, "vec_id", nearest.cosine_pairs(rows, "vec_id", "embedding", "label", 0.3))
+
+
+@_query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    return ledger.windowed_counts(table(spark, d, "events"), "ts", "event_type", "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@_query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
+def json_props(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"), F.count("*").alias("n"))
+
+
+@_query("SELECT md5(text) AS digest, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_text_dups(spark, d):
+    return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1")
+
+
+@_query()
+def serialize_news(spark, d):
+    rows = _news(spark, d, "type", "title", "lat", "lng", "district", "sources", "created_at")
+    item = F.struct("id", "type", "title", "lat", "lng", "district", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.transform("sources", lambda s: F.struct(s["site_name"].alias("site_name"), s["url"].alias("url"))).alias("sources"))
+    return rows.select("id", F.to_json(item).alias("item"))
+
+
+@_query()
+def page_titles(spark, d):
+    from yelken.sources import feeds
+
+    pages = table(spark, d, "raw_articles").dropDuplicates(["raw_id"])
+    return pages.select("raw_id", text.clean_title(F.coalesce(feeds.headline(F.col("body_html")), "title")).alias("title"), F.size(feeds.links_of(F.col("body_html"))).alias("n_links"))
+
+
+@_query("SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1")
+def segment_totals(spark, d):
+    joined = table(spark, d, "orders").where("o_orderdate >= timestamp_ntz '1996-01-01'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES) | {"p6_found": timestamps.p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
