@@ -31,6 +31,7 @@ UNIT_MARKS = {"kat", "daire", "d", "k", "blok", "ic"}
 NAME_WORDS = 2  # words of a street name right before its kind
 TYPO_RATIO = 5  # a word is a slip of another that is one edit away and at least so many times as frequent
 DISTRICT_SHARE = 0.001  # a district is named by at least this share of the rows: at most 1,000 of them
+PRIOR = 20  # pairs that the starting values of the linkage weights are worth
 COMPARED = ("name1", "name2", "kind", "letter", "quarter", "postcode")
 
 _TOKEN = re.compile(r"\d+|[a-z]+|[^\sa-z\d]")
@@ -125,7 +126,7 @@ def near(a: str, b: str) -> bool:
 
 def _corrections(words: DataFrame, ratio: float) -> DataFrame:
     """(word, right): for words that are slips of a more frequent one. Candidates share a deletion of one letter."""
-    near_udf = F.udf(near, "boolean")  # on candidate pairs of distinct words only
+    near_udf = F.udf(near, "boolean", useArrow=False)  # on candidate pairs of distinct words only
     counted = words.where("word is not null and not word rlike '^[0-9]+$'").groupBy("word").agg(F.count("*").alias("n"))
     gone = F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.col("word").substr(i + 1, F.length("word"))))))
     keyed = stored(counted.withColumn("key", F.explode(gone)), "words")
@@ -154,8 +155,8 @@ def linkage_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 5
     if not patterns:
         return {}
     fields = range(len(patterns[0][0]))
-    m = [[0.9, 0.05, 0.05] for _ in fields]
-    u = [[0.2, 0.6, 0.2] for _ in fields]
+    m0, u0 = (0.63, 0.02, 0.35), (0.2, 0.45, 0.35)  # at the start, and worth PRIOR pairs throughout: a missing value says nothing by itself
+    m, u = [list(m0) for _ in fields], [list(u0) for _ in fields]
     share, total = 0.3, sum(n for _, n in patterns)
 
     def odds(p: tuple[int, ...]) -> float:
@@ -164,11 +165,11 @@ def linkage_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 5
     for _ in range(rounds):
         g = [1 / (1 + math.exp(-max(-60, min(60, odds(p))))) for p, _ in patterns]
         hit = sum(w * n for w, (_, n) in zip(g, patterns))
-        share = min(0.999, max(0.001, hit / total))
+        share = min(0.999, max(0.001, (hit + 0.3 * PRIOR) / (total + PRIOR)))
         for f in fields:
             for level in range(3):
-                m[f][level] = (sum(w * n for w, (p, n) in zip(g, patterns) if p[f] == level) + 0.1) / (hit + 0.3)
-                u[f][level] = (sum((1 - w) * n for w, (p, n) in zip(g, patterns) if p[f] == level) + 0.1) / (total - hit + 0.3)
+                m[f][level] = (sum(w * n for w, (p, n) in zip(g, patterns) if p[f] == level) + PRIOR * m0[level]) / (hit + PRIOR)
+                u[f][level] = (sum((1 - w) * n for w, (p, n) in zip(g, patterns) if p[f] == level) + PRIOR * u0[level]) / (total - hit + PRIOR)
     return {p: odds(p) / math.log(2) for p, _ in patterns}
 
 
