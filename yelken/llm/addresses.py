@@ -125,13 +125,13 @@ def near(a: str, b: str) -> bool:
 
 
 def _corrections(words: DataFrame, ratio: float) -> DataFrame:
-    """(word, right): for words that are slips of a more frequent one. Candidates share a deletion of one letter."""
+    """(word, right): for words, marked with their field, that are slips of a more frequent one of the same field. Candidates share a deletion of one letter."""
     near_udf = F.udf(near, "boolean", useArrow=False)  # on candidate pairs of distinct words only
-    counted = words.where("word is not null and not word rlike '^[0-9]+$'").groupBy("word").agg(F.count("*").alias("n"))
+    counted = words.where("word is not null and not word rlike '^.:[0-9]+$'").groupBy("word").agg(F.count("*").alias("n"))
     gone = F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.col("word").substr(i + 1, F.length("word"))))))
     keyed = stored(counted.withColumn("key", F.explode(gone)), "words")
     other = keyed.select("key", F.col("word").alias("right"), F.col("n").alias("m"))
-    pairs = keyed.join(other, "key").where((F.col("m") >= F.col("n") * ratio) & (F.length("word") > 3)).select("word", "n", "right", "m").distinct()
+    pairs = keyed.join(other, "key").where((F.col("m") >= F.col("n") * ratio) & (F.length("word") > 5) & (F.left("word", F.lit(2)) == F.left("right", F.lit(2)))).select("word", "n", "right", "m").distinct()
     return pairs.where(near_udf("word", "right")).groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
 
 
@@ -183,10 +183,12 @@ def address_forms(df: DataFrame, key: str, text: str, district: str, typo_ratio:
     parsed = rows.mapInPandas(_parsed(districts), "id string, " + ", ".join(f"{c} string" for c in FORM))
     parsed = stored(parsed.groupBy("id").agg(F.min(F.struct(*FORM)).alias("x")).select("id", "x.*"), "parsed")
     fields = ("name1", "name2", "quarter")
-    right = stored(_corrections(parsed.select(F.explode(F.array(*fields)).alias("word")), typo_ratio), "corrections")
+    marked = [F.concat(F.lit(f"{i}:"), c) for i, c in enumerate(fields)]
+    right = stored(_corrections(parsed.select(F.explode(F.array(*marked)).alias("word")), typo_ratio), "corrections")
     fixed = parsed
-    for c in fields:
-        fixed = fixed.join(right.select(F.col("word").alias(c), F.col("right").alias("__r")), c, "left").withColumn(c, F.coalesce("__r", c)).drop("__r")
+    for i, c in enumerate(fields):
+        own = right.where(F.col("word").startswith(f"{i}:")).select(F.substring("word", 3, 1000).alias(c), F.substring("right", 3, 1000).alias("__r"))
+        fixed = fixed.join(own, c, "left").withColumn(c, F.coalesce("__r", c)).drop("__r")
     fixed = fixed.withColumn("form", F.xxhash64(*[F.coalesce(F.col(c), F.lit("\0")) for c in FORM]))
     fixed = stored(fixed.select("id", "form", *FORM), "forms")
     return fixed.select("id", "form"), fixed.select("form", *FORM).dropDuplicates(["form"])
