@@ -120,3 +120,18 @@ def test_against_sql(spark, name):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
     found, want = catalog.queries()[name](spark, DATA), con.sql(catalog.oracle_sql()[name])
     assert _rows(found.collect(), found.columns) == _rows(want.fetchall(), want.columns)
+
+
+def test_places(spark):
+    from yelken.operators import places
+
+    rows = [(1, "Yeldere'de kaza", "Yeldere ilçesinde kaza oldu. Akçasu Caddesi kapandı. Sonra Akçasu'da kutlama."), (2, "Haber", "Akçasu istikametinde trafik"), (3, None, None), (4, "Ankara", "Ankara ve Yeldere")]
+    df = spark.createDataFrame(rows, "id int, title string, content string")
+    names = spark.createDataFrame([("Yeldere",), ("Akçasu",), ("Ankara",)], "name string")
+    scores = places.place_scores(df, "id", "title", "content", names)
+    got = {(r.id, r.name): r.score for r in scores.select("id", "name", "score").collect()}
+    assert got[1, "Yeldere"] == 2 + 6 and got[1, "Akçasu"] == 1 and (2, "Akçasu") not in got
+    local = {r.id: r for r in places.locality(scores, "id", F.col("name").isin("Yeldere", "Akçasu")).collect()}
+    assert local[1].district == "Yeldere" and local[1].is_local and not local[4].is_local and local[4].district is None
+    named = spark.createDataFrame([(1, "Kaza Dereboyu Mahallesi Kavaklı Kuyusu Sokak ve Sahil mevkisinde oldu"), (2, None)], "id int, content string")
+    assert {r.kind for r in places.address_candidates(named, "id", "content").collect()} == {"street", "quarter", "spot"}

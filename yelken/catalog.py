@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from yelken.functions import text, urls
 from yelken.operators import classify as C
-from yelken.operators import nearest, relational, timestamps
+from yelken.operators import nearest, places, relational, timestamps
 from yelken.session import table
 from yelken.streaming import ledger
 
@@ -293,6 +293,32 @@ def segment_totals(spark, d):
     return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+def _scores(spark, d):
+    names = table(spark, d, "news").where("district is not null").groupBy(F.trim("district").alias("name")).agg(F.count("*").alias("n")).where("name rlike '^\\\\p{Lu}\\\\p{Ll}+$'")
+    return places.place_scores(_news(spark, d, "title", "content"), "id", "title", "content", names)
+
+
+@_query()
+def place_mentions(spark, d):
+    return _scores(spark, d)
+
+
+@_query()
+def locality(spark, d):
+    return places.locality(_scores(spark, d), "id", F.col("name").isin("Yeldere", "Akçasu", "Şafakören"))
+
+
+@_query()
+def address_candidates(spark, d):
+    return places.address_candidates(_news(spark, d, "content"), "id", "content")
+
+
+@_query("SELECT DISTINCT district FROM news INTERSECT SELECT DISTINCT trim(district) FROM news WHERE type = 'yangin'")
+def districts_with_fires(spark, d):
+    rows = table(spark, d, "news")
+    return rows.select("district").intersect(rows.where("type = 'yangin'").select(F.trim("district").alias("district")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES) | {"p6_found": timestamps.p6_found}
 
