@@ -85,6 +85,24 @@ def test_greedy_merge_equals_sequence(spark):
     assert {r.id: r.leader for r in got.collect()} == want
 
 
+def test_greedy_merge_joins_most_similar_leader(spark):
+    import random
+
+    rng = random.Random(6)
+    links = {tuple(sorted(rng.sample(range(40), 2))): rng.choice([0.3, 0.4, 0.5, 0.6]) for _ in range(120)}
+    leaders, want, smallest = [], {}, {}
+    for k in range(40):
+        near = [a for a in leaders if (a, k) in links]
+        want[k] = max(near, key=lambda a: links[a, k]) if near else k  # max gives the first of equal ones
+        smallest[k] = near[0] if near else k
+        if not near:
+            leaders.append(k)
+    assert want != smallest
+    rows = [(a, b, s) for (a, b), s in links.items()]
+    got = nearest.greedy_merge(spark.range(40), "id", spark.createDataFrame(rows, "key_a bigint, key_b bigint, similarity double"))
+    assert {r.id: r.leader for r in got.collect()} == want
+
+
 def test_page_fields(spark):
     page = '<meta content="x" name="og:title"><script type="application/ld+json">{"@type":"NewsArticle","headline":"Başlık"}</script><h1>y</h1><a href="/a">1</a><a class=k href=/b>2</a>'
     df = spark.createDataFrame([(page,), ("",), (None,)], "v string")

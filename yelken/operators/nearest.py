@@ -29,9 +29,12 @@ def best_match(pairs: DataFrame) -> DataFrame:
 
 
 def greedy_merge(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
-    """(key, leader): rows in order of key; a row joins the smallest earlier leader it is linked to, else leads itself. Rounds of the
+    """(key, leader): rows in order of key; a row joins the most similar of the earlier leaders it is linked to, the smallest of equally
+    similar ones, else leads itself. ``links``: key_a, key_b, similarity; without similarity all count the same. Rounds of the
     lexicographically first independent set; every round is written to the shared folder."""
-    leaders, waiting, open_ = None, stored(rows.select(F.col(key).alias("k")).distinct(), "waiting"), stored(links.select("key_a", "key_b"), "links")
+    similarity = F.col("similarity") if "similarity" in links.columns else F.lit(0.0)
+    linked = stored(links.select("key_a", "key_b", similarity.alias("similarity")), "links")
+    leaders, waiting, open_ = None, stored(rows.select(F.col(key).alias("k")).distinct(), "waiting"), linked.select("key_a", "key_b")
     every = waiting
     while True:
         now = stored(waiting.join(open_.select(F.col("key_b").alias("k")).distinct(), "k", "left_anti"), "leaders")
@@ -42,6 +45,7 @@ def greedy_merge(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
             break
         keep = waiting.select(F.col("k").alias("key_a"))
         open_ = stored(open_.join(keep, "key_a", "left_semi").join(keep.withColumnRenamed("key_a", "key_b"), "key_b", "left_semi"), "open")
-    led = links.join(leaders.select(F.col("k").alias("key_a")), "key_a", "left_semi").groupBy(F.col("key_b").alias("k")).agg(F.min("key_a").alias("joined"))
+    nearest = F.min_by("key_a", F.struct(-F.col("similarity"), "key_a")).alias("joined")
+    led = linked.join(leaders.select(F.col("k").alias("key_a")), "key_a", "left_semi").groupBy(F.col("key_b").alias("k")).agg(nearest)
     own = leaders.withColumn("own", F.col("k"))
     return every.join(own, "k", "left").join(led, "k", "left").select(F.col("k").alias(key), F.coalesce("own", "joined").alias("leader"))
