@@ -153,3 +153,21 @@ def test_places(spark):
     assert local[1].district == "Yeldere" and local[1].is_local and not local[4].is_local and local[4].district is None
     named = spark.createDataFrame([(1, "Kaza Dereboyu Mahallesi Kavaklı Kuyusu Sokak ve Sahil mevkisinde oldu"), (2, None)], "id int, content string")
     assert {r.kind for r in places.address_candidates(named, "id", "content").collect()} == {"street", "quarter", "spot"}
+
+
+def test_locality_covers_every_story(spark):
+    rows = [(1, "Haber", "Yer adı yok."), (2, None, None), (3, "Haber. ", "Olay Akçasu'da oldu. Bolu'da da."), (4, "Ankara'da yangın", "Ankara'da yangın. Kartalya'ya duyuruldu."), (5, "Bolu yolu", "Kartalya Valiliği açıkladı. Bolu'dan geldi, Konya'ya gitti.")]
+    rows += [(6, "Kartalya istikametinde kaza", "Konya'da kaza."), (7, "Yıldırım düştü", "Yıldırım evi yaktı."), (8, "Yıldırım'da kaza", "Kaza."), (9, "Haber", "Yeldere ile Akçasu. Ankara'da."), (10, "Nilüfer Çeşmesi", "Nilüfer Yokuşu kapandı."), (1, "Haber", "Yer adı yok.")]
+    got = {r.id: (r.local_score, r.foreign_score, r.is_local, r.district) for r in catalog._locality(spark.createDataFrame(rows, "id int, title string, content string")).collect()}
+    want = {1: (0, 0, True, None), 2: (0, 0, True, None), 3: (2, 1, True, "Akçasu"), 4: (1, 4, False, None), 5: (2, 2, True, None), 6: (0, 2, False, None), 7: (0, 0, True, None), 8: (0, 2, False, None), 9: (4, 1, True, "Yeldere"), 10: (0, 0, True, None)}
+    assert got == want
+
+
+def test_locality_query(spark):
+    found = {r.id: r for r in catalog.queries()["locality"](spark, DATA).collect()}
+    stories = {i: f"{t or ''}\n{c or ''}" for i, t, c in duckdb.sql(f"SELECT id, title, content FROM '{DATA}/news.parquet'").fetchall()}
+    assert set(found) == set(stories)
+    # none of these stories names a place elsewhere
+    assert all(r.is_local and r.foreign_score == 0 for r in found.values())
+    assert {r.district for r in found.values()} >= set(catalog._DISTRICTS)
+    assert all(r.district is None or r.district in stories[i] for i, r in found.items())

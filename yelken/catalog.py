@@ -303,9 +303,18 @@ def place_mentions(spark, d):
     return _scores(spark, d)
 
 
+_PROVINCE, _DISTRICTS = "Kartalya", ["Akçasu", "Çamlıyaka", "Demirağaç", "Gökpınarlı", "Ihlamurcuk", "İncirözü", "Öztepeli", "Sarıköprü", "Şafakören", "Taşlıova", "Ulukışık", "Yeldere"]
+
+
+def _locality(stories: DataFrame) -> DataFrame:
+    rules = [(_PROVINCE, "province")] + [(n, None) for n in _DISTRICTS] + [(n, "marked" if n in places.MARKED_ONLY else None) for n in places.FOREIGN]
+    scores = places.place_scores(stories, "id", "title", "content", stories.sparkSession.createDataFrame(rules, "name string, rule string"))
+    return places.locality(scores, "id", F.col("name").isin(_DISTRICTS), F.col("name") == _PROVINCE, stories)
+
+
 @_query()
 def locality(spark, d):
-    return places.locality(_scores(spark, d), "id", F.col("name").isin("Yeldere", "Akçasu", "Şafakören"))
+    return _locality(_news(spark, d, "title", "content"))
 
 
 @_query()
