@@ -171,3 +171,13 @@ def test_locality_query(spark):
     assert all(r.is_local and r.foreign_score == 0 for r in found.values())
     assert {r.district for r in found.values()} >= set(catalog._DISTRICTS)
     assert all(r.district is None or r.district in stories[i] for i, r in found.items())
+
+
+def test_link_dedup_keeps_addresses_without_number(spark):
+    rows = [("a", "https://a/haber/12345/uzun-ad", 1), ("a", "https://a/haber/12345/ad", 2), ("a", "https://a/haber/12345/da", 3), ("a", "https://a/hakkinda", 1), ("a", "https://a/iletisim", 2), ("a", "https://a/iletisim", 3)]
+    rows += [("a", "https://a/yazi-4321", 1), ("a", "https://a/y-4321", 2), ("b", "https://b/hakkinda", 1)]
+    df = spark.createDataFrame(rows, "site_name string, url string, first_seen int")
+    want = {("a", 12345, "https://a/haber/12345/ad", 3), ("a", 0, "https://a/hakkinda", 1), ("a", 0, "https://a/iletisim", 2), ("a", 4321, "https://a/y-4321", 2), ("b", 0, "https://b/hakkinda", 1)}
+    assert {tuple(r) for r in catalog._link_dedup(df).collect()} == want
+    hinted = spark.createDataFrame([(1, "xx", 1, None), (1, "x", 2, "late"), (1, "y", 3, "later")], "k int, url string, at int, hint string")
+    assert tuple(relational.link_dedup(hinted, ["k"], "url", "at", "hint").first()) == (1, "x", "late", 1, 3)

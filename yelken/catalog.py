@@ -140,9 +140,14 @@ def normalize_urls(spark, d):
  SELECT site_name, a AS article, arg_min(url, (length(url), first_seen, url)) AS url, count(*) AS n FROM p GROUP BY 1, 2"""
 )
 def link_dedup(spark, d):
-    rows = table(spark, d, "processed_urls").where("site_name is not null")
-    number = F.coalesce(F.nullif(F.regexp_extract("url", r"/(?:haber|foto|video)/(\d{5,})", 1), F.lit("")).try_cast("bigint"), F.lit(0))
-    return rows.groupBy("site_name", number.alias("article")).agg(F.min_by("url", F.struct(F.length("url"), "first_seen", "url")).alias("url"), F.count("*").alias("n"))
+    return _link_dedup(table(spark, d, "processed_urls").where("site_name is not null"))
+
+
+def _link_dedup(rows: DataFrame) -> DataFrame:
+    """Articles by site and number; an address without a number is an article of its own. The SQL tells no such addresses apart and knows only
+    numbers after a section: it holds where every address has one."""
+    numbered = rows.withColumn("article", urls.article_id(F.col("url"))).withColumn("alone", F.when(F.col("article") == 0, F.col("url")))
+    return relational.link_dedup(numbered, ["site_name", "article", "alone"], "url", "first_seen").select("site_name", "article", "url", "n")
 
 
 @_query("SELECT url, arg_max(status, (updated_at, attempts, status)) AS status, max(updated_at) AS updated_at, min(first_seen) AS first_seen, count(*) AS n_rows FROM processed_urls GROUP BY 1")

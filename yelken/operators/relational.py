@@ -33,13 +33,11 @@ def early_stop(df: DataFrame, group: str, order: list[Column], fetched: Column,
     return marked.withColumn("__stopped", F.max("__stop").over(upto)).where(~F.col("__stopped")).drop("__island", "__done", "__streak", "__stop", "__stopped")
 
 
-def link_dedup(df: DataFrame, key: list[str], url: str, ordinal: str, hint: str) -> DataFrame:
-    """One row per key: the shortest address (the earliest of equally short ones), the earliest ordinal and the earliest known hint."""
-    return df.groupBy(*key).agg(
-        F.min_by(url, F.struct(F.length(url), F.col(ordinal))).alias(url),
-        F.min_by(hint, F.when(F.col(hint).isNotNull(), F.col(ordinal))).alias(hint),
-        F.min(ordinal).alias(ordinal),
-    )
+def link_dedup(df: DataFrame, key: list[str], url: str, ordinal: str, hint: str | None = None) -> DataFrame:
+    """One row per key: the shortest address (the earliest of equally short ones, then the first by name), the earliest ordinal, the earliest
+    known hint where there is such a column, and how many rows there were (n)."""
+    hints = [F.min_by(hint, F.when(F.col(hint).isNotNull(), F.col(ordinal))).alias(hint)] if hint else []
+    return df.groupBy(*key).agg(F.min_by(url, F.struct(F.length(url), F.col(ordinal), F.col(url))).alias(url), *hints, F.min(ordinal).alias(ordinal), F.count("*").alias("n"))
 
 
 def waterfall(queries: DataFrame, key: str, rank: str, found: Column) -> DataFrame:
