@@ -128,7 +128,7 @@ def repair_disguises(df: DataFrame, key: str = "id", fields: tuple[str, ...] = F
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, field) of every disguised value of news: one with other forms, with words the vocabulary put right, or with mixed-script words
-    it doesn't know, which stay as they are but are disguised all the same."""
+    """(id, field) of every disguised value of news: one with other forms or with mixed-script words, whether the vocabulary put these right or
+    not. The rows thus follow from the script test; the counts are asked for so that the repair is made."""
     judged = repair_disguises(table(spark, sf_dir, "news"))
     return judged.where(F.col("other_forms") | (F.col("n_repaired") > 0) | (F.col("n_mixed") > F.col("n_repaired"))).select("id", "field")
