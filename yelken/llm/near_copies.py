@@ -1,12 +1,12 @@
-"""Near-duplicate records with small edits (problem 7): prefix-tree join over globally ordered n-gram sets.
+"""Near-duplicate records with small edits (problem 7): prefix-filter join over globally ordered n-gram sets.
 
 1. Every record becomes the set of its word n-grams; a digest of the set stands for all records that share it.
 2. The global order is rare first. How often an n-gram occurs is read from a table of fixed size (counts by hash bucket over all
    records); any order that all records share keeps the join exact.
-3. The ordered sets are stored in a trie whose first edges, the n-grams, are spread over shards. A record enters it below each
+3. No trie is built: an inverted index from single n-grams to records is spread over shards. A record enters it under each
    n-gram of its prefix (beyond it the remaining length can't reach the threshold) with its position, size and a bitmap of its whole set.
-   Its deeper edges are not spelled out: the bitmap bounds what all of them can add.
-4. Below each first edge, pairs are kept only where the remaining lengths, then the bitmaps, can still reach the threshold.
+   The rest of the set is not spelled out: the bitmap bounds what it can add.
+4. Under each n-gram, pairs are kept only where the remaining lengths, then the bitmaps, can still reach the threshold.
    Both are upper bounds, so nothing is lost; the survivors are verified exactly on the full sets.
 
 No pair of records with different sets and a similarity at or above the threshold is missed, whatever the order or table size.
@@ -30,7 +30,7 @@ from yelken.session import stored, table
 WORDS, SIMILARITY = 5, 0.8  # defaults; p7 sets three words and one half
 TABLE_BITS = 20  # hash buckets of the count table: at most 2 ** 20 numbers reach the driver and the tasks
 BITMAP_WORDS = 6  # 64-bit words of a bitmap
-SHARD_ROWS = 8_192  # one shard of the trie for so many records
+SHARD_ROWS = 8_192  # one shard of the index for so many records
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -105,7 +105,7 @@ def _enter(counts: np.ndarray, shards: int, t: float):
 
 
 def _below(t: float, most: int = 1_000_000):
-    """All pairs of one shard of the trie that the bounds let through."""
+    """All pairs of one shard of the index that the bounds let through."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -117,10 +117,10 @@ def _below(t: float, most: int = 1_000_000):
         lengths = np.array([len(g) // 8 for g in pdf["grams"]])
         gram, place = np.frombuffer(b"".join(pdf["grams"]), np.int64), np.frombuffer(b"".join(pdf["places"]), np.int32).astype(np.int64)
         row = np.repeat(np.arange(len(pdf)), lengths)
-        by = np.lexsort((size[row], gram))  # below an edge by size: partners end where sizes do
+        by = np.lexsort((size[row], gram))  # under an n-gram by size: partners end where sizes do
         gram, place, row = gram[by], place[by], row[by]
         n = size[row]
-        left = n - place  # what the record can still share, this edge included
+        left = n - place  # what the record can still share, this n-gram included
         end = np.append(np.where(np.diff(gram))[0] + 1, len(gram))
         edge_end = end[np.searchsorted(end, np.arange(len(gram)), "right")]
         # partners of i are the rows after it, up to size n / t
