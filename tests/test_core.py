@@ -181,3 +181,21 @@ def test_link_dedup_keeps_addresses_without_number(spark):
     assert {tuple(r) for r in catalog._link_dedup(df).collect()} == want
     hinted = spark.createDataFrame([(1, "xx", 1, None), (1, "x", 2, "late"), (1, "y", 3, "later")], "k int, url string, at int, hint string")
     assert tuple(relational.link_dedup(hinted, ["k"], "url", "at", "hint").first()) == (1, "x", "late", 1, 3)
+
+
+def test_address_candidates_of_all_kinds(spark):
+    rows = [
+        (1, "TEM'de kaza", "Olay Yeldere’nin Dereboyu Mahallesi Uzun Kuyu Sokak’ta oldu. Akçasu Mahallesi'nde de duyuldu. Gürgen ve Vişneli mahallelerinde de. D-100 kara yolu Taşlı Sapağı mevkiinde kapandı."),
+        (2, "Haber", "Yeldere Sanayi Sitesi ile Kumlu köyü arasında, Yeldere-Akçasu yolu Çınar çıkışında. Bolu'nun Taşköprü Mahallesi'nden geldi. Yeldere Şehir Hastanesi'ne gitti."),
+        (3, "Ankara'da yangın", "Ankara Atatürk Caddesi."),
+        (4, "Haber", "Kartalya Büyük Kavşağı, 1161. Sokak, büyük kavşağı. Söğütlü Köprülü Kavşağı'nda."),
+        (5, None, None),
+    ]
+    got = {}
+    for r in catalog._address_candidates(spark.createDataFrame(rows, "id int, title string, content string")).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.text, r.kind, r.level))
+    assert got == {
+        1: [("Uzun Kuyu Sokak", "street", 5), ("Taşlı Sapağı", "spot", 4), ("Dereboyu Mahallesi", "quarter", 3), ("Akçasu Mahallesi", "quarter", 3), ("Gürgen Mahallesi", "quarter", 3), ("Vişneli Mahallesi", "quarter", 3), ("TEM Otoyolu", "road", 2), ("D-100 Karayolu", "road", 2), ("Yeldere", "district", 1)],
+        2: [("Çınar çıkışı", "spot", 4), ("Kumlu Köyü", "village", 3), ("Yeldere-Akçasu Yolu", "road", 2), ("Yeldere", "district", 1)],
+        4: [("1161 Sokak", "street", 5), ("Büyük Kavşağı", "spot", 4), ("Söğütlü Köprülü Kavşağı", "spot", 4)],
+    }

@@ -324,7 +324,12 @@ def locality(spark, d):
 
 @_query()
 def address_candidates(spark, d):
-    return places.address_candidates(_news(spark, d, "content"), "id", "content")
+    return _address_candidates(_news(spark, d, "title", "content"))
+
+
+def _address_candidates(stories: DataFrame) -> DataFrame:
+    local = stories.join(_locality(stories).where("is_local").select("id", "district"), "id")
+    return places.address_candidates(local, "id", "content", "title", "district", tuple(_DISTRICTS), _PROVINCE)
 
 
 @_query("SELECT DISTINCT district FROM news INTERSECT SELECT DISTINCT trim(district) FROM news WHERE type = 'yangin'")
