@@ -258,9 +258,13 @@ def test_abuse(spark):
     df = spark.createDataFrame(docs + docs[:1] + [(None, "x", "s", 1.0), (901, None, "s", 1.0), (902, "S3n t4m b1r g3rz3k s0yt4r1sın!!", "s", 1.0), (903, "sen tam bir g e r z e k soytarısın", "s", 1.0), (904, "", "s", 1.0)], "doc_id bigint, text string, source string, score double")
     model = abuse.train_abuse_model(df, spark.createDataFrame(labels, "doc_id bigint, label int"), most=400)
     got = {r.doc_id: r for r in abuse.score_abuse(df, model, keep=("source",)).collect()}
-    assert len(got) == 604 and np.mean([(got[i].score >= 0.5) == (i % 4 == 0) for i in range(600)]) > 0.98
+    assert len(got) == 604 and np.mean([(got[i].score >= abuse.THRESHOLD) == (i % 4 == 0) for i in range(600)]) > 0.98
     assert got[902].score >= 0.5 and got[903].score >= 0.5 and got[901].score == got[904].score == 0
     assert got[0].sentences and len(got[0].sentences) == 1
+    buried = "belediye yolu bugün temizledi " * 30 + "sen tam bir gerzek soytarısın " + "kapılar yarın sabah açılacak " * 30
+    assert model.score([buried])[0][0] >= abuse.THRESHOLD > model.score([buried.replace("sen tam bir gerzek soytarısın ", "")])[0][0]
+    every = {f for part in abuse.pieces("bir iki üç dört beş altı yedi sekiz", lambda names: list(names)) for f in part}
+    assert {"bir", "sekiz", "alti yedi"} <= every  # no word is lost
     rates = {r.source: r for r in abuse.abuse_rates(spark.createDataFrame(list(got.values()))).collect()}
     assert rates[None].n_docs == 300 and rates[None].rate == pytest.approx(0.5, abs=0.03)
     nobody = abuse.train_abuse_model(df, spark.createDataFrame([], "doc_id bigint, label int"))
