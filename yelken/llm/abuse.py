@@ -22,7 +22,7 @@ from yelken.session import table
 
 TRAIN_DOCS = 12_000  # labelled documents the model is fitted on, at most
 RATER_ERROR = 0.1  # share of labels taken to be wrong
-PRIOR = 1.2  # strength of the pull of each weight towards 0, in documents
+DECAY = 1e-4  # pull of each weight towards 0
 PIECE_WORDS, PIECE_STEP = 6, 3  # words of a piece of a sentence, and how far the next one is on
 THRESHOLD = 0.35  # chosen by precision and recall on labelled documents kept out of the fit
 BITS = 20
@@ -110,7 +110,7 @@ class AbuseModel:
         self.weights = weights.astype(np.float32)
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[float], raters: list[int] | None = None, rounds: int = 80, rate: float = 0.4, prior: float = PRIOR, error: float = RATER_ERROR) -> AbuseModel:
+    def fit(cls, texts: list[str], labels: list[float], raters: list[int] | None = None, rounds: int = 80, rate: float = 0.4, decay: float = DECAY, error: float = RATER_ERROR) -> AbuseModel:
         """labels: share of raters that called the document abusive; raters: how many there were, each counts."""
         w = np.zeros((1 << BITS) + 1)
         w[-1] = -4.0
@@ -128,7 +128,7 @@ class AbuseModel:
             said = error + (1 - 2 * error) * (1 - clean)
             slope = (said - y) / (said * (1 - said)) * (1 - 2 * error) * votes
             dz = (slope * clean)[doc] * p  # noisy-or: d(1 - clean) / dz = clean * p
-            g = np.append(np.bincount(flat, dz[at], 1 << BITS), dz.sum()) + prior / n * np.append(w[:-1], 0)
+            g = np.append(np.bincount(flat, dz[at], 1 << BITS), dz.sum()) + decay * np.append(w[:-1], 0)
             g2 += g * g
             w -= rate * g / np.sqrt(g2)
         return cls(w)
