@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,12 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors can read: spark.checkpoint.dir; only where that is unset, a fresh local one is made and set."""
+    """Folder that all executors can read: spark.checkpoint.dir. Where that is unset a local session makes one of its own, removed when the
+    process ends; on a cluster a folder of one machine would lose data, so that is an error."""
     sc = spark.sparkContext
     if (found := sc.getCheckpointDir()) is not None:
         return found
     to = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(to or tempfile.mkdtemp(prefix="yelken-"))
+    if not to:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        to = tempfile.mkdtemp(prefix="yelken-")
+        atexit.register(shutil.rmtree, to, ignore_errors=True)
+    sc.setCheckpointDir(to)
     return sc.getCheckpointDir()
 
 
