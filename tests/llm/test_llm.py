@@ -59,6 +59,33 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_block_counts(spark):
+    rows = [(f"{i}", "s", "alpha\ngamma\nown text x\nalpha\nbeta") for i in range(10)] + [(f"o{i}", "s", f"other {chr(97 + i)}") for i in range(10)]
+    sizes = {(r.id, r.line_no): r.block_lines for r in repeated_lines.repeated_lines(spark.createDataFrame(rows, "id string, site_name string, content string")).collect()}
+    assert sizes["0", 4] == 5 - 3 and sizes["0", 1] == 5  # the block alpha, beta; the whole text
+    rng = random.Random(5)
+    frequent = {1, 2, 3}
+    docs = [[rng.choice([1, 2, 3, 9]) for _ in range(12)] for _ in range(40)]
+    n, want = {}, {}
+    for d in docs:
+        for s, k in repeated_lines._suffixes_of(d, frequent):
+            for i in range(1, len(s) + 1):
+                n[s[:i]] = n.get(s[:i], 0) + k
+        for b in {tuple(d[i:j]) for i in range(12) for j in range(i + 1, 13) if 9 not in d[i:j]}:
+            want[b] = want.get(b, 0) + 1
+    assert n == want
+
+
+def test_leaks_of_repeated_passages():
+    rng = np.random.default_rng(4)
+    for most in (1, 50, 10**6):
+        train, test = rng.integers(0, 3, 400), rng.integers(0, 3, 120)
+        got = {(int(p), int(t)): int(n) for p, t, n in zip(*leaks._shard_matches(train, test, 3, most))}
+        run = lambda p, t: next(k for k in itertools.count() if p + k >= len(train) or t + k >= len(test) or train[p + k] != test[t + k] or not train[p + k])
+        want = {(p, t): run(p, t) for p in range(400) for t in range(120) if run(p, t) >= 3 and not (p and t and train[p - 1] and train[p - 1] == test[t - 1])}
+        assert got == want
+
+
 def test_leaks(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcşıö") for _ in range(3))
@@ -241,6 +268,14 @@ def test_mixture(spark):
     full = {r[0]: r[1] for r in pieces.groupBy("key").agg(F.sum("tokens")).collect()}
     assert full == {r.key: r.n_tokens for r in mixture.count_tokens(df).where("n_tokens > 0").collect()}
     assert mixture.mix_sources(df.limit(0), targets)[0].count() == 0
+    slots = {"a": 500, "b": 41, "c": 7}
+    for groups in (1, 3, 1000):  # every slot once, full shards but the last
+        dealt = mixture._shards(spark, slots, 16, 3, groups).collect()
+        assert sorted((r.source, i) for r in dealt for i in range(r.start, r.start + r.n)) == [(s, i) for s in "abc" for i in range(slots[s])]
+        sizes = {}
+        for r in dealt:
+            sizes[r.shard] = sizes.get(r.shard, 0) + r.n
+        assert len(sizes) == 35 and sorted(sizes.values())[1:] == [16] * 34
 
 
 def test_abuse(spark):

@@ -50,7 +50,7 @@ def _ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def _shard_matches(train: np.ndarray, test: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shard_matches(train: np.ndarray, test: np.ndarray, least: int, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(training position, test position, words) of the maximal common runs of at least ``least`` words."""
     none = (np.zeros(0, np.int64),) * 3
     if not len(train) or not len(test):
@@ -68,19 +68,36 @@ def _shard_matches(train: np.ndarray, test: np.ndarray, least: int) -> tuple[np.
     order = corpus[np.argsort(rank[corpus], kind="stable")]  # the shard's suffix array
     sorted_ranks = rank[order]
     low, high = np.searchsorted(sorted_ranks, rank[items], "left"), np.searchsorted(sorted_ranks, rank[items], "right")
-    count = high - low
-    if not count.sum():
+    if not (high > low).any():
         return none
-    t = np.repeat(items, count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-    p = order[at]
-    by = np.lexsort((p, p - t))
-    p, t = p[by], t[by]
-    new = np.ones(len(p), bool)
-    new[1:] = ((p - t)[1:] != (p - t)[:-1]) | (np.diff(p) != 1)
-    start = np.where(new)[0]
-    length = np.diff(np.append(start, len(p))) + least - 1
-    return p[start], t[start] - len(train) - 1, length
+    # a passage repeated in corpus and items meets itself often: hits are spelled out for so many training positions at a time that they
+    # stay bounded. Runs never cross a break, so parts end at breaks
+    by_rank = np.argsort(rank[items], kind="stable")
+    items, test_ranks = items[by_rank], rank[items][by_rank]
+    place = np.sort(corpus)
+    first, past = np.searchsorted(test_ranks, rank[place], "left"), np.searchsorted(test_ranks, rank[place], "right")
+    some = past > first
+    place, first, number = place[some], first[some], (past - first)[some]
+    run = np.searchsorted(stop, place)  # the break that ends the position's run
+    cuts, done = [0], 0
+    total = np.cumsum(number)
+    ends = np.append(np.where(np.diff(run))[0] + 1, len(place))
+    for end, following in zip(ends, np.append(ends[1:], len(place))):
+        if end == len(place) or total[following - 1] - done > most:
+            cuts.append(int(end))
+            done = total[end - 1]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        p = np.repeat(place[a:b], number[a:b])
+        ahead_of = np.cumsum(number[a:b]) - number[a:b]
+        t = items[np.arange(len(p)) - np.repeat(ahead_of, number[a:b]) + np.repeat(first[a:b], number[a:b])]
+        by = np.lexsort((p, p - t))
+        p, t = p[by], t[by]
+        new = np.ones(len(p), bool)
+        new[1:] = ((p - t)[1:] != (p - t)[:-1]) | (np.diff(p) != 1)
+        start = np.where(new)[0]
+        out.append((p[start], t[start] - len(train) - 1, np.diff(np.append(start, len(p))) + least - 1))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else none
 
 
 def _finder(items: list[tuple], least: int, shard_words: int):

@@ -2,7 +2,7 @@
 
 The texts of a source, in a pseudorandom order, form one stream of tokens that is cut into blocks. Slots of the output are shared
 out among sources shard by shard; the k-th slot of a source takes block perm(k), a pseudorandom permutation, so that a block comes again
-only when all blocks of its source have been used. Slots and blocks are joined by index. Only counts per source and shard reach the driver.
+only when all blocks of its source have been used. Slots and blocks are joined by index. Counts per source, and per source and group of shards, reach the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from yelken.session import stored, table
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"  # ranks of a public byte-level BPE
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the usual pattern of such tokenizers
 BLOCK_TOKENS, SHARD_BLOCKS, BUCKET_DOCS = 256, 512, 50_000
+GROUPS = 1_000  # groups of shards that the driver deals slots to: at most so many rows, whatever the size of the mix
 _encoders: dict[str, object] = {}
 
 
@@ -92,16 +93,42 @@ def quotas(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total:
     return given
 
 
-def _shards(slots: dict[str, int], shard_blocks: int, seed: int) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first slot, slots): multinomial draws, conditioned on each source's total so that the shares come out exact."""
-    names, rng = sorted(slots), np.random.default_rng(seed)
-    left = np.array([slots[s] for s in names], np.int64)
-    start, out, shard = np.zeros_like(left), [], 0
-    while left.sum():
-        take = rng.multivariate_hypergeometric(left, min(shard_blocks, int(left.sum())), method="marginals")
-        out += [(shard, s, int(a), int(n)) for s, a, n in zip(names, start, take) if n]
-        left, start, shard = left - take, start + take, shard + 1
-    return out
+def _deal(left: np.ndarray, sizes: list[int], rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Slots of each source for parts of the given sizes: multinomial draws, conditioned on each source's total so that the shares come out exact."""
+    left = left.copy()
+    for size in sizes:
+        take = rng.multivariate_hypergeometric(left, min(size, int(left.sum())), method="marginals")
+        left -= take
+        yield take
+
+
+def _shards(spark: SparkSession, slots: dict[str, int], shard_blocks: int, seed: int, groups: int = GROUPS) -> DataFrame:
+    """(shard, source, start, n): which slots of which source stand in which shard. The driver deals slots to at most ``groups`` groups of shards;
+    each group deals its own to its shards, in a task of its own."""
+    names = sorted(slots)
+    total = sum(slots.values())
+    shards = -(-total // shard_blocks)
+    each = max(1, -(-shards // groups))  # shards of a group
+    start, rows = np.zeros(len(names), np.int64), []
+    sizes = [min(each * shard_blocks, total - g * each * shard_blocks) for g in range(-(-shards // each))]
+    for g, take in enumerate(_deal(np.array([slots[s] for s in names], np.int64), sizes, np.random.default_rng(seed))):
+        rows.append((g, start.tolist(), take.tolist()))
+        start = start + take
+    schema = "shard bigint, source string, start bigint, n bigint"
+    if not rows:
+        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, begin, own in zip(pdf["g"], pdf["start"], pdf["own"]):
+                at, own, out = np.array(begin, np.int64), np.array(own, np.int64), []
+                for k, take in enumerate(_deal(own, [shard_blocks] * -(-int(own.sum()) // shard_blocks), np.random.default_rng([seed, int(g)]))):
+                    out += [(int(g) * each + k, s, int(a), int(n)) for s, a, n in zip(names, at, take) if n]
+                    at = at + take
+                yield pd.DataFrame(out, columns=["shard", "source", "start", "n"])
+
+    made = spark.createDataFrame(rows, "g bigint, start array<bigint>, own array<bigint>")
+    return made.repartition(min(len(rows), 200), "g").mapInPandas(run, schema)
 
 
 def mix_sources(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", total_tokens: int | None = None, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -121,9 +148,9 @@ def mix_sources(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: st
     steps = []
     for s in sorted(slots):
         n = supply[s][1]
-        a = next((x for x in (int(v) for v in rng.integers(1, 1 << 30, 1000)) if math.gcd(x, n) == 1), 1)
+        a = next((x for x in (int(v) for v in rng.integers(1, max(2, min(1 << 30, (1 << 62) // n)), 1000)) if math.gcd(x, n) == 1), 1)
         steps.append((s, n, a, int(rng.integers(0, n)), int(rng.integers(0, n))))
-    drawn = spark.createDataFrame(_shards(slots, shard_blocks, seed) or [], "shard int, source string, start bigint, n bigint")
+    drawn = _shards(spark, slots, shard_blocks, seed)
     perm = spark.createDataFrame(steps, "source string, blocks bigint, a bigint, b bigint, c bigint")
     slot = drawn.withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))).join(F.broadcast(perm), "source")  # a row a source
     again, k = F.floor(F.col("slot") / F.col("blocks")), F.col("slot") % F.col("blocks")
@@ -140,11 +167,16 @@ def mix_sources(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: st
     return chosen, shares, plan
 
 
+def _tokenizer(spark: SparkSession) -> str:
+    """Path of the tokenizer's ranks: the session's yelken.tokenizer, else TOKENIZER."""
+    return spark.conf.get("yelken.tokenizer", TOKENIZER)
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen documents with their repeats."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), tokenizer=_tokenizer(spark))[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares reached, by source."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), tokenizer=_tokenizer(spark))[1]

@@ -22,6 +22,8 @@ from yelken.session import stored, table
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 MIN_DOCS, MIN_SHARE = 5, 0.1
+MOST_LINES = 256  # a longer block is told as one of so many lines; its lines are found all the same, as each begins a suffix
+SALTS = 32  # tasks that one site's documents are spread over when they meet the site's list
 
 
 def line_key(line: str) -> str:
@@ -40,22 +42,36 @@ def _identify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="__text").assign(__lines=[_line_ids(t) for t in pdf["__text"]])
 
 
+def _suffixes_of(lines: list[int], frequent: set[int]) -> list[tuple[tuple[int, ...], int]]:
+    """(suffix, documents it adds) of one document: all suffixes of its runs of frequent lines, each worth 1, and for every two neighbours among
+    them in sorted order their common prefix, worth -1. A prefix that occurs m times has m - 1 such neighbours, so it sums up to one document."""
+    suffixes, run = [], []
+    for line in [*lines, 0]:
+        if line in frequent:
+            run.append(line)
+        elif run:
+            suffixes += [tuple(run[i : i + MOST_LINES]) for i in range(len(run))]
+            run = []
+    suffixes.sort()
+    out = [(s, 1) for s in suffixes]
+    for a, b in zip(suffixes, suffixes[1:]):
+        common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        if common:
+            out.append((a[:common], -1))
+    return out
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Suffixes of a document's runs of frequent lines; of one leading line only the first place in the document."""
     for pdf in batches:
-        rows = []
-        for site, lines, frequent in zip(pdf["__site"], pdf["__lines"], pdf["__frequent"]):
-            keep, seen, run = set(frequent), set(), []
-            for line in [*lines, 0]:
-                if line in keep:
-                    run.append(line)
-                    continue
-                for i, first in enumerate(run):
-                    if first not in seen:
-                        seen.add(first)
-                        rows.append((site, run[i:]))
-                run = []
-        yield pd.DataFrame(rows, columns=["__site", "__suffix"])
+        rows = [(site, list(s), n) for site, lines, frequent in zip(pdf["__site"], pdf["__lines"], pdf["__list"]) for s, n in _suffixes_of(list(lines), set(frequent))]
+        yield pd.DataFrame(rows, columns=["__site", "__suffix", "__n"])
+
+
+def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Each document with the list of its site. A site may hold a third of all documents: both sides are salted, so its documents stand in
+    SALTS tasks; a list, whose length the share bounds, goes to each."""
+    salted = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int")).join(salted, ["__site", "__salt"]).drop("__salt")
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +117,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         lines_out, sizes = [], []
-        for lines, blocks in zip(pdf["__lines"], pdf["__blocks"]):
+        for lines, blocks in zip(pdf["__lines"], pdf["__list"]):
             known = {tuple(b) for b in blocks}
             lines, hit, size, reach = list(lines), [], [], 0
             for i, line in enumerate(lines):
@@ -124,7 +140,7 @@ def repeated_lines(df: DataFrame, key: str = "id", text: str = "content", site:
     """(key, line_no, block_lines): the lines of ``text`` (split at LF, counted from 1) that belong to a block of one or more lines
     found in at least ``min_docs`` and at least ``min_share`` of the distinct documents of their ``site``; block_lines is the length
     of the longest such block that starts there. Lines compare by their letters. NULL keys, texts and sites, lines without letters
-    give no row; of several deliveries of one key the first by content counts. Documents are counted once per block."""
+    give no row; of several deliveries of one key the first by content counts. Documents are counted once per block, however often it stands in them."""
     docs = df.select(F.col(key).alias("__key"), F.col(site).alias("__site"), F.col(text).alias("__text")).where("__key is not null and __site is not null and __text is not null")
     ids = docs.mapInPandas(_identify, docs.drop("__text").schema.simpleString()[7:-1] + ", __lines array<bigint>")
     docs = stored(ids.groupBy("__key").agg(F.min(F.struct("__site", "__lines")).alias("x")).select("__key", "x.__site", "x.__lines"), "lines")
@@ -132,12 +148,12 @@ def repeated_lines(df: DataFrame, key: str = "id", text: str = "content", site:
     seen = docs.select("__site", F.explode(F.array_distinct("__lines")).alias("__line")).where("__line <> 0").groupBy("__site", "__line").agg(F.count("*").alias("__n"))
     need = F.greatest(F.lit(min_docs), F.col("__all") * F.lit(min_share) - 1e-9)
     # at most lines-per-document / min_share identifiers a site, whatever the number of documents
-    frequent = seen.join(total, "__site").where(F.col("__n") >= need).groupBy("__site").agg(F.collect_list("__line").alias("__frequent"))
-    suffixes = docs.join(frequent, "__site").select("__site", "__lines", "__frequent").mapInPandas(_runs, "__site string, __suffix array<bigint>")
-    array = suffixes.groupBy("__site", "__suffix").agg(F.count("*").alias("__docs")).repartitionByRange("__site", "__suffix").sortWithinPartitions("__site", "__suffix")
+    frequent = seen.join(total, "__site").where(F.col("__n") >= need).groupBy("__site").agg(F.collect_list("__line").alias("__list"))
+    suffixes = _with_lists(docs, frequent).select("__site", "__lines", "__list").mapInPandas(_runs, "__site string, __suffix array<bigint>, __n bigint")
+    array = suffixes.groupBy("__site", "__suffix").agg(F.sum("__n").alias("__docs")).repartitionByRange("__site", "__suffix").sortWithinPartitions("__site", "__suffix")
     found = array.mapInPandas(_blocks, "__site string, __block array<bigint>, __docs bigint").groupBy("__site", "__block").agg(F.sum("__docs").alias("__n"))
-    blocks = found.join(total, "__site").where(F.col("__n") >= need).groupBy("__site").agg(F.collect_list("__block").alias("__blocks"))
-    hits = docs.join(blocks, "__site").select("__key", "__lines", "__blocks").mapInPandas(_covered, f"__key {dict(docs.dtypes)['__key']}, __hit array<int>, __size array<int>")
+    blocks = found.join(total, "__site").where(F.col("__n") >= need).groupBy("__site").agg(F.collect_list("__block").alias("__list"))
+    hits = _with_lists(docs, blocks).select("__key", "__lines", "__list").mapInPandas(_covered, f"__key {dict(docs.dtypes)['__key']}, __hit array<int>, __size array<int>")
     return hits.select(F.col("__key").alias(key), F.explode(F.arrays_zip("__hit", "__size")).alias("x")).select(key, F.col("x.__hit").alias("line_no"), F.col("x.__size").alias("block_lines"))
 
 
