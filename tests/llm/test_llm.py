@@ -120,10 +120,29 @@ def test_addresses(spark):
         ("h", "yeldere 1105 sokak numara 6 daire 2", None), ("i", None, "Yeldere"), ("j", "", ""), ("k", "Kavaklı Kuyusu Sokak", "Yeldere"), ("a", "Dereboyu Mahallesi, Kavaklı Kuyusu Sokak No: 12/A, Yeldere, Kartalya", "Yeldere"),
     ] + [(f"z{i:02}", f"Kavaklı Kuyusu Sokak No: {100 + i}", "Yeldere") for i in range(12)] + [(f"y{i:02}", f"Çınar Köprüsü Caddesi No: {100 + i}", "Akçasu") for i in range(12)] + [(None, "Kavaklı Kuyusu Sokak No: 12/A", "Yeldere")]
     df = spark.createDataFrame(rows, "id string, location_text string, district string")
-    got = {tuple(r) for r in addresses.same_places(df).collect()}
-    assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("g", "h")}
-    assert addresses.same_places(df.limit(0)).count() == 0
-    assert addresses.near("kuyusu", "kuyuus") and addresses.near("abc", "abcd") and not addresses.near("abc", "acbd")
+    pairs = lambda **o: {tuple(r) for r in addresses.place_pairs(*addresses.same_places(df, outer=("kartalya",), **o)).collect()}
+    assert pairs() == {("a", "b"), ("a", "c"), ("b", "c"), ("g", "h")}
+    assert pairs(min_weight=100.0) == set()  # the weights decide
+    assert addresses.same_places(df.limit(0))[0].count() == 0
+    near = lambda a, b: spark.range(1).select(addresses.near(F.lit(a), F.lit(b))).first()[0]
+    assert near("kuyusu", "kuyuus") and near("abc", "abcd") and not near("abc", "acbd") and not near("1105", "1106")
+
+
+def test_address_weights_decide(spark):
+    """Slips in rare names, which no more frequent spelling puts right, are left to the weights; other streets and long names are told apart."""
+    rng = random.Random(9)
+    streets = [f"{a} {b}" for a in ("Kavaklı", "Nilüfer", "Menekşe", "Turunç", "Sümbül") for b in ("Kuyusu", "Bostanı", "Feneri")]
+    rows = [(f"r{i:04}", f"{'Vişneli Mahallesi, ' if i % 3 else ''}{rng.choice(streets)} Sokak No: {rng.randrange(1, 30)}", "Yeldere") for i in range(300)]
+    rows += [("x1", "Vişneli Mahallesi, Portakal Geçidi Sokak No: 90", "Yeldere"), ("x2", "Vişneli Mahallesi, Portkaal Geçidi Sokak No: 90", "Yeldere")]
+    rows += [("y1", "Ada Mustafa Kemal Caddesi No: 91", "Yeldere"), ("y2", "Yeni Mustafa Kemal Caddesi No: 91", "Yeldere"), ("y3", "Ada Mustafa Kemal Cad. No: 91", "Yeldere")]
+    df = spark.createDataFrame(rows, "id string, location_text string, district string")
+    at = lambda w: {tuple(r) for r in addresses.place_pairs(*addresses.same_places(df, min_weight=w)).collect()}
+    normal = at(0.0)
+    assert ("x1", "x2") in normal and ("y1", "y3") in normal and ("y1", "y2") not in normal
+    same = {(a[0], b[0]) for a, b in itertools.combinations(sorted(rows), 2) if a[1].split(", ")[-1] == b[1].split(", ")[-1]}
+    assert {p for p in normal if p[0][0] == "r"} == same
+    strict, loose = at(12.0), at(-1e9)
+    assert strict < normal < loose
 
 
 def _vectors(seed, n, dim=8, near=0.3):
