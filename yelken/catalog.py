@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yelken.functions import text, urls
 from yelken.operators import classify as C
-from yelken.operators import nearest, places, relational, timestamps
+from yelken.operators import geocoding, nearest, places, relational, serving
+from yelken.plans import ingest, instants, pages
+from yelken.plans import serving as served
+from yelken.plans.registry import LOWER, NORMAL, Query, Registry
+from yelken.plans.registry import news as _news
 from yelken.session import table
 from yelken.streaming import ledger
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+_query = Registry()
 
 _VALUES = ", ".join(f"('{c}', '{w}', {n}, {k})" for c, w, n, k in C.keyword_rows())
 _RANKS = ", ".join(f"('{c}', {p})" for c, p in C.PRIORITY.items())
@@ -35,20 +34,6 @@ _SCORES = f"""WITH kw(category, keyword, weight, ord) AS (VALUES {_VALUES}), ran
 """
 
 
-def _query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _news(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return table(spark, d, "news").select("id", *cols).dropDuplicates(["id"])
-
-
 _ONE = "(SELECT DISTINCT ON (id) * FROM news)"
 
 
@@ -57,9 +42,9 @@ def normalize_titles(spark, d):
     return _news(spark, d, "title").select("id", text.for_matching(F.col("title")).alias("matching"))
 
 
-@_query(f"SELECT id, trim(regexp_replace(translate({_MATCH.format('content')}, 'çğıöşü', 'cgiosu'), ' +', ' ', 'g')) AS folded FROM {_ONE}")
+@_query(f"SELECT id, trim(translate({LOWER.format(NORMAL.format('content'))}, 'çğıöşüâîû', 'cgiosuaiu')) AS folded FROM {_ONE} WHERE content IS NOT NULL")
 def ascii_fold_news(spark, d):
-    return _news(spark, d, "content").select("id", F.translate(text.for_matching(F.col("content")), "çğıöşü", "cgiosu").alias("folded"))
+    return _news(spark, d, "content").where("content is not null").select("id", text.ascii_fold(F.col("content")).alias("folded"))
 
 
 def _hits(spark, d):
@@ -73,7 +58,7 @@ def keyword_matches(spark, d):
 
 @_query(_SCORES + "SELECT id, category, score::BIGINT AS score, anchored FROM s")
 def keyword_scores(spark, d):
-    return C.category_scores(_hits(spark, d), "id")
+    return C.category_scores(_news(spark, d, "title", "content"), "id", "title", "content")
 
 
 def _classified(spark, d):
@@ -87,9 +72,24 @@ def classify_news(spark, d):
 
 @_query(_SCORES + "SELECT r.category, count(cls.id) AS n, sum(count(cls.id)) OVER ()::BIGINT AS total FROM ranks r LEFT JOIN cls USING (category) GROUP BY 1")
 def category_stats(spark, d):
-    dim = spark.createDataFrame(list(C.PRIORITY.items()), "category string, rnk int").select("category")
-    n = _classified(spark, d).where("category is not null").groupBy("category").agg(F.count("*").alias("n"))
-    return dim.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n")).withColumn("total", F.sum("n").over(W.partitionBy()))
+    dim = spark.createDataFrame(list(C.PRIORITY.items()), "type string, rnk int").select("type")
+    found = _classified(spark, d).select(F.col("category").alias("type"))
+    return serving.counts_by_type(found, dim).withColumnRenamed("type", "category")
+
+
+_LABELS = """, w AS (SELECT d.id, k.category, rtrim(keyword, '$') AS word, ord, (length(t) - length(replace(t, f, ''))) // length(f) AS ht, (length(b) - length(replace(b, f, ''))) // length(f) AS hb FROM d, k),
+ w1 AS (SELECT id, category, word, min(CASE WHEN ht > 0 THEN ord ELSE 1000 + ord END) AS o FROM w WHERE ht + hb > 0 GROUP BY 1, 2, 3), w2 AS (SELECT id, category, category || ': ' || string_agg(word, ', ' ORDER BY o) AS line FROM w1 GROUP BY 1, 2),
+ w3 AS (SELECT id, string_agg(line, '; ' ORDER BY category) AS matched FROM w2 GROUP BY 1), s3 AS (SELECT d.id, string_agg(r.category || '=' || coalesce(s.score, 0), ' ' ORDER BY r.category) AS scores FROM d CROSS JOIN ranks r LEFT JOIN s ON s.id = d.id AND s.category = r.category GROUP BY 1)
+"""
+
+
+@_query(_SCORES + _LABELS + "SELECT s3.id, scores, coalesce(matched, '') AS matched FROM s3 LEFT JOIN w3 USING (id)")
+def explain_news(spark, d):
+    """The whole explanation: every category's score and the keywords found."""
+    made = C.explain(_news(spark, d, "title", "content"), "id", "title", "content")
+    scores = F.array_join(F.array_sort(F.transform("scores", lambda s: F.concat_ws("=", s["category"], s["score"].cast("string")))), " ")
+    lines = F.array_sort(F.transform("matched", lambda m: F.concat(m["category"], F.lit(": "), F.array_join(m["keywords"], ", "))))
+    return made.select("id", scores.alias("scores"), F.array_join(lines, "; ").alias("matched"))
 
 
 @_query(_SCORES + "SELECT n.type AS old_type, cls.category AS new_type, count(*) AS n FROM (SELECT DISTINCT ON (id) id, type FROM news) n JOIN cls USING (id) WHERE n.type IS DISTINCT FROM cls.category GROUP BY 1, 2")
@@ -116,11 +116,6 @@ def clean_line_stats(spark, d):
     return lines.groupBy("id").agg(F.count_if(F.size(F.split(v, " +")) >= 3).alias("long_lines"))
 
 
-@_query()
-def clean_lines(spark, d):
-    return _news(spark, d, "content").select("id", text.distinct_lines(F.col("content")).alias("cleaned"))
-
-
 _URL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^https?://[^/?#]+', ''), '[?#;].*$', ''), '/{{2,}}', '/', 'g'), '/$', '')"
 
 
@@ -136,18 +131,17 @@ def normalize_urls(spark, d):
 
 
 @_query(
-    """WITH p AS (SELECT site_name, url, first_seen, coalesce(try_cast(nullif(regexp_extract(url, '/(?:haber|foto|video)/(\\d{5,})', 1), '') AS BIGINT), 0) AS a FROM processed_urls WHERE site_name IS NOT NULL)
- SELECT site_name, a AS article, arg_min(url, (length(url), first_seen, url)) AS url, count(*) AS n FROM p GROUP BY 1, 2"""
+    """WITH p AS (SELECT site_name, url, first_seen, updated_at, coalesce(try_cast(nullif(regexp_extract(url, '/(?:haber|foto|video)/(\\d{5,})', 1), '') AS BIGINT), try_cast(nullif(regexp_extract(regexp_replace(url, '^https?://[^/?#]+', ''), '\\d{4,}'), '') AS BIGINT), 0) AS a FROM processed_urls WHERE site_name IS NOT NULL)
+ SELECT site_name, a AS article, arg_min(url, (length(url), first_seen, url)) AS url, arg_min(updated_at, (first_seen, updated_at)) FILTER (WHERE updated_at IS NOT NULL) AS hint, count(*) AS n FROM p GROUP BY site_name, a, CASE WHEN a = 0 THEN url END"""
 )
 def link_dedup(spark, d):
-    return _link_dedup(table(spark, d, "processed_urls").where("site_name is not null"))
+    return _link_dedup(table(spark, d, "processed_urls").where("site_name is not null")).withColumnRenamed("updated_at", "hint")
 
 
 def _link_dedup(rows: DataFrame) -> DataFrame:
-    """Articles by site and number; an address without a number is an article of its own. The SQL tells no such addresses apart and knows only
-    numbers after a section: it holds where every address has one."""
+    """Articles by site and number; an address without a number is an article of its own. The time of the last change stands for the hint of a date."""
     numbered = rows.withColumn("article", urls.article_id(F.col("url"))).withColumn("alone", F.when(F.col("article") == 0, F.col("url")))
-    return relational.link_dedup(numbered, ["site_name", "article", "alone"], "url", "first_seen").select("site_name", "article", "url", "n")
+    return relational.link_dedup(numbered, ["site_name", "article", "alone"], "url", "first_seen", "updated_at").select("site_name", "article", "url", "updated_at", "n")
 
 
 @_query("SELECT url, arg_max(status, (updated_at, attempts, status)) AS status, max(updated_at) AS updated_at, min(first_seen) AS first_seen, count(*) AS n_rows FROM processed_urls GROUP BY 1")
@@ -190,12 +184,6 @@ def early_stop(spark, d):
     return kept.groupBy("site_name").agg(F.count("*").alias("scanned"), F.sum(F.col("fresh").cast("int")).alias("fresh"))
 
 
-@_query("SELECT id, type, district, title FROM (SELECT DISTINCT ON (id) * FROM news) WHERE lat IS NOT NULL AND lng IS NOT NULL AND type IN ('yangin', 'hirsizlik') AND district = 'Yeldere' ORDER BY created_at DESC, id LIMIT 500")
-def list_recent(spark, d):
-    rows = _news(spark, d, "type", "district", "title", "lat", "lng", "created_at").where("lat is not null and lng is not null and type in ('yangin', 'hirsizlik') and district = 'Yeldere'")
-    return rows.orderBy(F.desc("created_at"), "id").limit(500).select("id", "type", "district", "title")
-
-
 @_query("SELECT type, district, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM news) WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY ALL")
 def stats_by_type(spark, d):
     return _news(spark, d, "type", "district", "lat", "lng").where("lat is not null and lng is not null").groupBy("type", "district").agg(F.count("*").alias("n"))
@@ -206,10 +194,16 @@ def multi_source(spark, d):
     return _news(spark, d, "sources").where(F.size("sources") > 1).select("id", F.size("sources").cast("bigint").alias("n_sources"), F.array_join(F.transform("sources", lambda s: s["site_name"]), ", ").alias("sites"))
 
 
-@_query("SELECT DISTINCT i.id FROM news_incoming i WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(sources).url AS u FROM news) s WHERE s.u = i.url)")
+_BARE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[?#;].*$', ''), '^https?://(www\\.)?', ''), '/{{2,}}', '/', 'g'), '/$', '')"
+
+
+@_query(f"SELECT DISTINCT i.id FROM news_incoming i WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(sources).url AS u FROM news) s WHERE {_BARE.format('s.u')} = {_BARE.format('i.url')})")
 def new_urls(spark, d):
-    known = table(spark, d, "news").select(F.explode("sources.url").alias("url"))
-    return table(spark, d, "news_incoming").join(known, "url", "left_anti").select("id").distinct()
+    """Stories whose address is no source yet, addresses compared in their normal form."""
+    normal = lambda c: urls.normalize_url(F.col(c), F.col(c))
+    bare = lambda c: F.regexp_replace(normal(c), r"^https://(www\.)?", "")
+    known = table(spark, d, "news").select(F.explode("sources.url").alias("u")).select(bare("u").alias("k")).where("k is not null")
+    return table(spark, d, "news_incoming").withColumn("k", bare("url")).join(known, "k", "left_anti").select("id").distinct()
 
 
 @_query(
@@ -256,7 +250,13 @@ def best_match(spark, d):
     return nearest.best_match(nearest.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.3)).withColumn("similarity", F.round("similarity", 6))
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE l AS MATERIALIZED (SELECT key_a, key_b, s FROM ({_COS}) WHERE s >= 0.3), e AS MATERIALIZED (SELECT v.vec_id, row_number() OVER (ORDER BY v.vec_id) AS n, coalesce(list(l.key_a) FILTER (WHERE l.key_a IS NOT NULL), []) AS near
+ FROM (SELECT DISTINCT vec_id FROM embeddings) v LEFT JOIN l ON l.key_b = v.vec_id GROUP BY 1),
+ r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS leaders UNION ALL SELECT r.n + 1, CASE WHEN list_has_any(r.leaders, e.near) THEN r.leaders ELSE list_append(r.leaders, e.vec_id) END FROM r JOIN e ON e.n = r.n + 1),
+ f AS (SELECT unnest(leaders) AS leader FROM (SELECT leaders FROM r ORDER BY n DESC LIMIT 1))
+ SELECT e.vec_id, coalesce(f.leader, (SELECT arg_max(l.key_a, (l.s, -l.key_a)) FROM l JOIN f ON f.leader = l.key_a WHERE l.key_b = e.vec_id)) AS leader FROM e LEFT JOIN f ON f.leader = e.vec_id"""
+)
 def greedy_merge(spark, d):
     rows = table(spark, d, "embeddings")
     return nearest.greedy_merge(rows, "vec_id", nearest.cosine_pairs(rows, "vec_id", "embedding", "label", 0.3))
@@ -277,21 +277,6 @@ def exact_text_dups(spark, d):
     return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1")
 
 
-@_query()
-def serialize_news(spark, d):
-    rows = _news(spark, d, "type", "title", "lat", "lng", "district", "sources", "created_at")
-    item = F.struct("id", "type", "title", "lat", "lng", "district", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.transform("sources", lambda s: F.struct(s["site_name"].alias("site_name"), s["url"].alias("url"))).alias("sources"))
-    return rows.select("id", F.to_json(item).alias("item"))
-
-
-@_query()
-def page_titles(spark, d):
-    from yelken.sources import feeds
-
-    pages = table(spark, d, "raw_articles").dropDuplicates(["raw_id"])
-    return pages.select("raw_id", text.clean_title(F.coalesce(feeds.headline(F.col("body_html")), "title")).alias("title"), F.size(feeds.links_of(F.col("body_html"))).alias("n_links"))
-
-
 @_query("SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1")
 def segment_totals(spark, d):
     joined = table(spark, d, "orders").where("o_orderdate >= timestamp_ntz '1996-01-01'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -299,7 +284,7 @@ def segment_totals(spark, d):
 
 
 def _scores(spark, d):
-    names = table(spark, d, "news").where("district is not null").groupBy(F.trim("district").alias("name")).agg(F.count("*").alias("n")).where("name rlike '^\\\\p{Lu}\\\\p{Ll}+$'")
+    names = table(spark, d, "news").where("district is not null").select(F.trim("district").alias("name")).where("name <> ''").distinct()
     return places.place_scores(_news(spark, d, "title", "content"), "id", "title", "content", names)
 
 
@@ -308,7 +293,7 @@ def place_mentions(spark, d):
     return _scores(spark, d)
 
 
-_PROVINCE, _DISTRICTS = "Kartalya", ["Akçasu", "Çamlıyaka", "Demirağaç", "Gökpınarlı", "Ihlamurcuk", "İncirözü", "Öztepeli", "Sarıköprü", "Şafakören", "Taşlıova", "Ulukışık", "Yeldere"]
+_PROVINCE, _DISTRICTS = "Kartalya", list(served.DISTRICTS)
 
 
 def _locality(stories: DataFrame) -> DataFrame:
@@ -332,15 +317,26 @@ def _address_candidates(stories: DataFrame) -> DataFrame:
     return places.address_candidates(local, "id", "content", "title", "district", tuple(_DISTRICTS), _PROVINCE)
 
 
+@_query()
+def geocode_queries(spark, d):
+    """What a geocoder would be asked for each local story, from specific to general."""
+    local = _locality(_news(spark, d, "title", "content")).where("is_local").select("id", "district")
+    return geocoding.build_queries(_address_candidates(_news(spark, d, "title", "content")).join(local, "id"), "id", _PROVINCE)
+
+
 @_query("SELECT DISTINCT district FROM news INTERSECT SELECT DISTINCT trim(district) FROM news WHERE type = 'yangin'")
 def districts_with_fires(spark, d):
     rows = table(spark, d, "news")
     return rows.select("district").intersect(rows.where("type = 'yangin'").select(F.trim("district").alias("district")))
 
 
+ingest.register_scores(_SCORES)
+_ALL = (_query, pages.query, served.query, ingest.query, instants.query)
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES) | {"p6_found": timestamps.p6_found}
+    return {name: q for r in _ALL for name, q in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql for r in _ALL for name, sql in r.sql.items()}

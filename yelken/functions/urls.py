@@ -31,3 +31,20 @@ def article_id(url: Column, pattern: str = r"/(?:haber|foto|video)/(\d{5,})") ->
     path = F.regexp_replace(url, r"^(?i:https?)://[^/?#]+", "")
     number = lambda p, g: F.regexp_extract(path, p, g).try_cast("bigint")
     return F.coalesce(number(pattern, 1), number(r"\d{4,}", 0), F.lit(0).cast("bigint"))
+
+
+ARTICLE = r"^/(?:haber|foto|video)/\d{5,}/[a-z0-9-]+$"
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, r"^(?i:https?)://[^/?#]+", ""), r"[?#].*$", "")
+
+
+def is_article(url: Column, pattern: str = ARTICLE) -> Column:
+    """Whether the path of ``url`` matches a site's pattern; NULL for NULL."""
+    return path_of(url).rlike(pattern)
+
+
+def cache_key(query: Column) -> Column:
+    """Key of a lookup: Turkish lower case, one blank."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(query, "Iİ", "ıi")), r"(?U)\s+", " "))

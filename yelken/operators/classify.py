@@ -5,79 +5,133 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yelken.functions.text import for_matching
+from yelken.functions.text import matching_text
+from yelken.lexicon import KEYWORDS, PRIORITY
 
 MIN_SCORE, ANCHOR_WEIGHT, CLOSE_RATIO, TITLE_WEIGHT, MAX_HITS = 4, 3, 0.6, 2, 3
-# Categories in table order with their rank of priority, then their keywords and weights ("$": whole word only).
-PRIORITY = {"trafik_kazasi": 2, "yangin": 1, "elektrik_kesintisi": 4, "hirsizlik": 3, "kultur_etkinligi": 5}
-KEYWORDS = {
-    "trafik_kazasi": "trafik kaza 5, zincirleme kaza 5, zincirleme 2, kafa kafaya 3, yayaya çarp 4, takla at 3, şarampol 3, kontrolden çık 3, direksiyon hakimiyet 3, çarpıştı 3, çarpışma 3, çarpışan 3, arkadan çarp 3, bariyer 2, refüj 2, devrildi 3, devrilen 3, sürücüsü yaralandı 3, maddi hasar 3, kaza$ 3, kazada$ 3, kazaya$ 3, kazayı$ 3, kazayla$ 3, kazası$ 2, kazalar 2, kazazede 3, otomobil 1, motosiklet 1, kamyon 1, tır$ 1, tırın$ 1, minibüs 1, sürücü 1, yaralandı 1, ambulans 1, trafik ekip 1, plakalı 1, iş kaza -6, ağaç devril -6, direk devril -6, yeni kavşak -5, kavşak düzenleme -5, kavşak çalışma -5, yol çalışma -4, asfalt -3, ihale -3",
-    "yangin": "yangın 4, alevlere teslim 3, alev aldı 3, alev alev 3, alev 1, küle dön 4, kül oldu 4, kundak 4, tutuştu 3, tutuşma 2, söndürül 3, söndürme 2, itfaiye 1, dumandan etkilen 3, yanarak 2, yandı$ 3, patlama 1, tatbikat -5, yangın söndürme tüpü -2",
-    "elektrik_kesintisi": "elektrik kesinti 5, elektrikler kesil 5, elektrikler gitti 4, elektriksiz 4, enerji kesinti 5, planlı kesinti 4, plansız kesinti 4, kesinti yapılacak 3, kesinti uygulanacak 3, elektrik verilemeye 5, elektrik verilmeye 5, sedaş 2, elektrik arıza 4, karanlıkta kal 2, trafo 1, elektrik 1, kesinti 1, su kesinti -5, doğalgaz kesinti -5, doğal gaz kesinti -5, sanayi odası -5, seçim -3, meclis üye -3",
-    "hirsizlik": "hırsız 5, çaldı$ 3, çaldılar 3, çalındı 3, çalınan 3, çalıntı 4, çalarak 3, çaldığı 3, çaldıkları 3, gasp 4, soygun 4, soyuldu 4, yankesici 4, kapkaç 4, ziynet 1, ele geçirildi 1, şüpheli 1, gözaltına 1, yakalandı 1, tutuklandı 1, öldür -5, cinayet -5, uyuşturucu -3, usulsüzlük -4, rüşvet -4, dolandırıcılık -3, istiklal marşı -5, kapı çal -4, kapısını çal -4, zil çal -4",
-    "kultur_etkinligi": "konser$ 4, konseri 4, konserde 4, konsere 4, konserler 4, konserden 4, tiyatro 4, sergi$ 3, sergisi 3, sergide$ 3, sergiye$ 3, sergiler 3, festival 4, söyleşi 3, dinleti 4, müzikal 3, opera$ 3, operası 3, operada$ 3, bale$ 3, resital 4, orkestra 3, koro$ 2, korosu 3, kültür sanat 3, kültürel 2, etkinlik 2, sahne 2, gösterim 2, gösteri 1, sinema 2, şiir 2, imza günü 3, kitap fuar 4, fuar 1, şenlik 3, panayır 3, sanatçı 2, sanatsever 3, müze 2, atölye 1, konferans 1, kültür merkezi 2, kültür ve sanat 3, sempozyum 3, resim yarışması 3, film gösterim 3, sanat etkinli 3, kitap okuma 2, uyuşturucu -6, operasyon -4, tutuklan -4, gözaltı -4, futbol -4, transfer -3, maç$ -4, maçı -4, lig$ -3, aday -3, seçim -3, atama -3, atandı -3",
-}
-
-
-def keyword_rows(keywords: dict[str, str] | None = None) -> list[tuple[str, str, int, int]]:
-    """(category, keyword, weight, position) of a table in the form of KEYWORDS."""
-    rows = []
-    for category, line in (keywords or KEYWORDS).items():
-        for k, entry in enumerate(line.split(", ")):
-            word, weight = entry.rsplit(" ", 1)
-            rows.append((category, word, int(weight), k))
-    return rows
-
-
-def keyword_hits(df: DataFrame, key: str, title: str, content: str, keywords: dict[str, str] | None = None) -> DataFrame:
-    """(key, category, keyword, weight, in_title, hits): hits of each keyword per field, not overlapping, at most MAX_HITS."""
-    rows = keyword_rows(keywords)
-    texts = df.select(F.col(key).alias("key"), F.explode(F.array(F.struct(F.lit(True).alias("in_title"), for_matching(F.col(title)).alias("t")), F.struct(F.lit(False).alias("in_title"), for_matching(F.col(content)).alias("t")))).alias("x"))
-    texts = texts.select("key", "x.in_title", "x.t")
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        forms: dict[str, list[int]] = {}
-        for i, (_, word, _, _) in enumerate(rows):
-            forms.setdefault(f" {word[:-1]} " if word.endswith("$") else f" {word}", []).append(i)
-        machine = ahocorasick.Automaton()
-        for form, ids in forms.items():
-            machine.add_word(form, (len(form) - (2 if form.endswith(" ") else 1), form.endswith(" "), ids))
+MOST_KEYWORDS = 100_000  # rows of a keyword table that every task is handed
+
+
+def keyword_rows(keywords: DataFrame | None = None) -> list[tuple[str, str, int, int]]:
+    """(category, keyword, weight, position within its category) of the fixed table, or of a DataFrame (category, keyword, weight) of at most
+    MOST_KEYWORDS rows, taken in order of category, falling weight and keyword."""
+    rows = KEYWORDS
+    if keywords is not None:
+        rows = [tuple(r) for r in keywords.select("category", "keyword", "weight").orderBy("category", F.desc("weight"), "keyword").limit(MOST_KEYWORDS + 1).collect()]
+        if len(rows) > MOST_KEYWORDS:
+            raise ValueError(f"more than {MOST_KEYWORDS} keywords")
+    at: dict[str, int] = {}
+    out = []
+    for category, word, weight in rows:
+        out.append((category, word, weight, at.get(category, 0)))
+        at[category] = at.get(category, 0) + 1
+    return out
+
+
+def _finder(rows: list[tuple[str, str, int, int]]):
+    """A function from a batch of (title, content) to the hits of each: [(row of the table, hits in title, hits in content)]."""
+    import ahocorasick
+
+    forms: dict[str, list[int]] = {}
+    for i, (_, word, _, _) in enumerate(rows):
+        forms.setdefault(f" {word[:-1]} " if word.endswith("$") else f" {word}", []).append(i)
+    machine = ahocorasick.Automaton()
+    for form, ids in forms.items():
+        machine.add_word(form, (len(form) - (2 if form.endswith(" ") else 1), form.endswith(" "), ids))
+    if forms:
         machine.make_automaton()
-        for pdf in batches:
-            out = []
-            for k, in_title, text in zip(pdf["key"], pdf["in_title"], pdf["t"]):
-                free: dict[int, int] = {}
-                count: dict[int, int] = {}
-                for end, (size, whole, ids) in machine.iter(f" {text} "):
-                    last = end - 1 if whole else end
-                    if last - size + 1 >= free.get(ids[0], 0):
-                        free[ids[0]] = last + 1
-                        for i in ids:
-                            count[i] = count.get(i, 0) + 1
-                out += [(k, rows[i][0], rows[i][1].rstrip("$"), rows[i][2], in_title, min(n, MAX_HITS)) for i, n in count.items()]
-            yield pd.DataFrame(out, columns=["key", "category", "keyword", "weight", "in_title", "hits"])
-
-    return texts.mapInPandas(find, f"key {dict(texts.dtypes)['key']}, category string, keyword string, weight int, in_title boolean, hits int").withColumnRenamed("key", key)
-
-
-def category_scores(hits: DataFrame, key: str) -> DataFrame:
+
+    def count(text: str) -> dict[int, int]:
+        free: dict[int, int] = {}
+        n: dict[int, int] = {}
+        for end, (size, whole, ids) in machine.iter(f" {text} ") if forms else ():
+            last = end - 1 if whole else end
+            if last - size + 1 >= free.get(ids[0], 0):
+                free[ids[0]] = last + 1
+                for i in ids:
+                    n[i] = n.get(i, 0) + 1
+        return n
+
+    def hits(title: str | None, content: str | None) -> list[tuple[int, int, int]]:
+        t, c = count(matching_text(title)), count(matching_text(content))
+        return [(i, min(t.get(i, 0), MAX_HITS), min(c.get(i, 0), MAX_HITS)) for i in sorted({*t, *c})]
+
+    return hits
+
+
+def with_hits(df: DataFrame, title: str, content: str, keywords: DataFrame | None = None) -> DataFrame:
+    """``df`` with __hits ARRAY<STRUCT<category, keyword, weight, ord, in_title, in_content>>: the keywords found, hits not overlapping, at most MAX_HITS a
+    field. One Arrow pass a text; nothing is exploded or shuffled."""
+    rows = keyword_rows(keywords)
+
+    @F.pandas_udf("array<struct<i: int, t: int, c: int>>")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        hits = _finder(rows)
+        for titles, contents in batches:
+            yield pd.Series([[{"i": i, "t": t, "c": c} for i, t, c in hits(a, b)] for a, b in zip(titles, contents)], dtype=object)
+
+    known = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(w.rstrip("$")).alias("keyword"), F.lit(n).alias("weight"), F.lit(k).alias("ord")) for c, w, n, k in rows])
+    full = F.transform("__found", lambda h: F.struct(F.get(known, h["i"]).alias("k"), h["t"].alias("t"), h["c"].alias("c")))
+    flat = F.transform(full, lambda h: F.struct(h["k"]["category"].alias("category"), h["k"]["keyword"].alias("keyword"), h["k"]["weight"].alias("weight"), h["k"]["ord"].alias("ord"), h["t"].alias("in_title"), h["c"].alias("in_content")))
+    return df.withColumn("__found", find(F.col(title), F.col(content))).withColumn("__hits", flat).drop("__found")
+
+
+def keyword_hits(df: DataFrame, key: str, title: str, content: str, keywords: DataFrame | None = None) -> DataFrame:
+    """(key, category, keyword, weight, in_title, hits): hits of each keyword per field, not overlapping, at most MAX_HITS."""
+    found = with_hits(df.select(F.col(key).alias("__key"), F.col(title).alias("__t"), F.col(content).alias("__c")), "__t", "__c", keywords).select("__key", F.explode("__hits").alias("h"))
+    fields = F.array(F.struct(F.lit(True).alias("in_title"), F.col("h.in_title").alias("hits")), F.struct(F.lit(False).alias("in_title"), F.col("h.in_content").alias("hits")))
+    each = found.select("__key", "h.category", "h.keyword", "h.weight", F.explode(F.filter(fields, lambda f: f["hits"] > 0)).alias("f"))
+    return each.select(F.col("__key").alias(key), "category", "keyword", "weight", "f.in_title", "f.hits")
+
+
+def _points(h: Column) -> Column:
+    return h["weight"] * (h["in_title"] * TITLE_WEIGHT + h["in_content"])
+
+
+def _scores(hits: Column, category: str) -> Column:
+    """STRUCT<category, score, anchored, n> of one category."""
+    own = F.filter(hits, lambda h: h["category"] == category)
+    return F.struct(F.lit(category).alias("category"), F.aggregate(own, F.lit(0), lambda s, h: s + _points(h)).alias("score"), F.exists(own, lambda h: h["weight"] >= ANCHOR_WEIGHT).alias("anchored"), F.size(own).alias("n"))
+
+
+def category_scores(df: DataFrame, key: str, title: str, content: str, keywords: DataFrame | None = None) -> DataFrame:
     """(key, category, score, anchored) of the categories with any hit."""
-    points = F.col("weight") * F.col("hits") * F.when(F.col("in_title"), TITLE_WEIGHT).otherwise(1)
-    return hits.groupBy(key, "category").agg(F.sum(points).alias("score"), F.max(F.col("weight") >= ANCHOR_WEIGHT).alias("anchored"))
-
-
-def classify(df: DataFrame, key: str, title: str, content: str, keywords: dict[str, str] | None = None) -> DataFrame:
-    """(key, category, score, n_candidates) of every distinct key; NULL category without an anchored score of MIN_SCORE. Among categories
-    within CLOSE_RATIO of the best the one first in priority is chosen."""
-    scores = category_scores(keyword_hits(df.dropDuplicates([key]), key, title, content, keywords), key)
-    rank = F.create_map(*[F.lit(x) for c, p in PRIORITY.items() for x in (c, p)])
-    ok = scores.where(F.col("anchored") & (F.col("score") >= MIN_SCORE))
-    listed = ok.groupBy(key).agg(F.collect_list(F.struct(F.try_element_at(rank, F.col("category")).alias("rank"), "category", "score")).alias("all"), F.max("score").alias("top"))  # at most one a category
-    close = F.array_sort(F.filter("all", lambda x: x["score"] >= F.col("top") * CLOSE_RATIO))
-    chosen = listed.select(F.col(key).alias("__key"), close.getItem(0)["category"].alias("category"), close.getItem(0)["score"].alias("score"), F.size(close).alias("n_candidates"))
-    return df.select(key).distinct().join(chosen, F.col(key) == F.col("__key"), "left").drop("__key")
+    categories = list(dict.fromkeys(r[0] for r in keyword_rows(keywords)))
+    found = with_hits(df.select(F.col(key).alias("__key"), F.col(title).alias("__t"), F.col(content).alias("__c")), "__t", "__c", keywords)
+    each = found.select("__key", F.explode(F.filter(F.array(*[_scores(F.col("__hits"), c) for c in categories]), lambda s: s["n"] > 0)).alias("s"))
+    return each.select(F.col("__key").alias(key), "s.category", F.col("s.score").cast("bigint").alias("score"), "s.anchored")
+
+
+def explain(df: DataFrame, key: str, title: str, content: str, keywords: DataFrame | None = None, priority: dict[str, int] | None = None) -> DataFrame:
+    """(key, category, score, n_candidates, scores, matched) of every distinct key. The category is NULL without an anchored score of MIN_SCORE; among those
+    within CLOSE_RATIO of the best the one first in priority is chosen. scores ARRAY<STRUCT<category, score>> holds every category; matched
+    ARRAY<STRUCT<category, keywords>> those with hits, keywords of the title before those of the content, in order of the table, each once. NULL
+    texts count as empty; of several rows of a key one is taken. All in the row: one shuffle drops repeated keys, nothing else moves."""
+    rank = PRIORITY if priority is None else priority
+    categories = list(dict.fromkeys(r[0] for r in keyword_rows(keywords)))
+    one = df.select(F.col(key).alias("__key"), F.col(title).alias("__t"), F.col(content).alias("__c")).dropDuplicates(["__key"])
+    found = with_hits(one, "__t", "__c", keywords).drop("__t", "__c").withColumn("__s", F.array(*[_scores(F.col("__hits"), c) for c in categories]))
+    fit = F.filter("__s", lambda s: s["anchored"] & (s["score"] >= MIN_SCORE))
+    found = found.withColumn("__fit", fit).withColumn("__top", F.array_max(F.transform("__fit", lambda s: s["score"])))
+    ranks = F.create_map(*[F.lit(x) for c in categories for x in (c, rank.get(c, len(rank) + 1))])
+    close = F.array_sort(F.transform(F.filter("__fit", lambda s: s["score"] >= F.col("__top") * CLOSE_RATIO), lambda s: F.struct(F.element_at(ranks, s["category"]).alias("rank"), s["category"].alias("category"), s["score"].alias("score"))))
+    found = found.withColumn("__close", close)
+
+    def words(category: str) -> Column:
+        own = F.filter("__hits", lambda h: h["category"] == category)
+        named = lambda field: F.transform(F.array_sort(F.transform(F.filter(own, lambda h: h[field] > 0), lambda h: F.struct(h["ord"].alias("ord"), h["keyword"].alias("keyword")))), lambda x: x["keyword"])
+        return F.struct(F.lit(category).alias("category"), F.array_distinct(F.concat(named("in_title"), named("in_content"))).alias("keywords"))
+
+    first = F.get("__close", F.lit(0))
+    return found.select(
+        F.col("__key").alias(key), first["category"].alias("category"), first["score"].cast("bigint").alias("score"), F.when(F.size("__close") > 0, F.size("__close")).alias("n_candidates"),
+        F.transform("__s", lambda s: F.struct(s["category"].alias("category"), s["score"].alias("score"))).alias("scores"), F.filter(F.array(*[words(c) for c in categories]), lambda x: F.size(x["keywords"]) > 0).alias("matched"),
+    )
+
+
+def classify(df: DataFrame, key: str, title: str, content: str, keywords: DataFrame | None = None) -> DataFrame:
+    """(key, category, score, n_candidates) of every distinct key, see explain."""
+    return explain(df, key, title, content, keywords).select(key, "category", "score", "n_candidates")

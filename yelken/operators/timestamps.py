@@ -47,6 +47,34 @@ def trimmed(value: Column) -> Column:
     return F.trim(plain)
 
 
+def find_date(text: Column) -> Column:
+    """The first written date inside a text, with the clock time that follows it within 25 characters other than digits, in a form that parse_instant
+    reads; NULL where there is none. A date in words goes before one in numbers."""
+    names = "|".join(sorted({w for words in MONTHS.values() for w in words.split()}, key=len, reverse=True))
+    folded, out = _folded(text), []
+    for date in (rf"(\d{{1,2}})\s+({names})\.?\s+(\d{{4}})", r"(\d{1,2})[./](\d{1,2})[./](\d{4})"):
+        hit = F.nullif(F.regexp_extract(folded, rf"(?<!\d){date}(?!\d)(?:[^0-9]{{0,25}}?(?<!\d)(\d{{1,2}})[:.](\d{{2}}))?", 0), F.lit(""))
+        day = F.regexp_extract(hit, date, 0)
+        clock = F.regexp_extract(F.substr(hit, F.length(day) + 1), r"(\d{1,2})[:.](\d{2})", 0)
+        out.append(F.when(hit.isNotNull(), F.trim(F.concat_ws(" ", F.regexp_replace(F.regexp_replace(day, r"\s+", " "), r"([a-z])\. ", "$1 "), clock))))
+    return F.coalesce(*out)
+
+
+def iso_date(value: Column) -> Column:
+    """DATE of a text YYYY-MM-DD, NULL for anything else."""
+    return F.when(F.trim(value).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.trim(value).try_cast("date"))
+
+
+def iso_text(at: Column) -> Column:
+    """YYYY-MM-DDTHH:MM:SSZ of a TIMESTAMP, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def day_range(start: Column, end: Column, zone: str) -> tuple[Column, Column]:
+    """(from, before): UTC wall clock of the beginning of the local day ``start`` and of the day after ``end`` (DATEs)."""
+    return F.to_utc_timestamp(start.cast("timestamp_ntz"), zone), F.to_utc_timestamp(F.date_add(end, 1).cast("timestamp_ntz"), zone)
+
+
 def _folded(value: Column) -> Column:
     return F.lower(F.translate(value, "İIıŞşĞğÜüÖöÇç", "iiissgguuoocc"))
 

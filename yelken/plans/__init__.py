@@ -1 +1 @@
-
+"""Registered queries over the tables, by area, with the SQL that checks them."""

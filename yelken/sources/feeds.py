@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from yelken.operators.timestamps import parse_instant
 
@@ -20,11 +24,43 @@ def read_atom(spark: SparkSession, path: str, zone: str = "Europe/Istanbul") ->
     return rows.select(F.col("link._href").alias("link"), parse_instant(F.coalesce("published", "updated"), F.lit(zone)).alias("published_sec"))
 
 
-def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
+def read_sitemap(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(loc, lastmod) of the addresses of sitemap files."""
     return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path).select(F.trim("loc").alias("loc"), "lastmod")
 
 
+def read_sitemap_index(spark: SparkSession, path: str, most: int = 3) -> list[str]:
+    """Addresses of at most ``most`` children of an index, those that look like news before the others, in order of the file; a plain sitemap has none."""
+    rows = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path)
+    named = rows.select(F.trim("loc").alias("loc"), F.monotonically_increasing_id().alias("ord")).where("loc <> ''")
+    return [r.loc for r in named.orderBy(~F.col("loc").rlike("news|haber"), "ord").limit(most).collect()]
+
+
+def read_sitemaps(spark: SparkSession, path: str, local: Callable[[str], str] = str) -> DataFrame:
+    """(loc, lastmod) of a sitemap, or of an index's children, one level deep. ``local`` tells where the file of an address is."""
+    children = read_sitemap_index(spark, path)
+    return read_sitemap(spark, [local(c) for c in children]) if children else read_sitemap(spark, path)
+
+
+@F.pandas_udf(StringType())
+def decoded(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
+    """Text of the bytes of a page: UTF-8 where that is what they are; else in the charset the server named, the Turkish one where it named none, one that doesn't
+    exist or the default of servers (ISO-8859-1). Bytes without meaning become U+FFFD; NULL gives NULL."""
+
+    def one(body: bytes | None, charset: str | None) -> str | None:
+        if body is None:
+            return None
+        for name in ("utf-8", None if (charset or "").lower() in ("", "iso-8859-1") else charset):
+            try:
+                if name:
+                    return bytes(body).decode(name)
+            except (UnicodeDecodeError, LookupError):
+                pass
+        return bytes(body).decode("cp1254", "replace")
+
+    return pd.Series([one(b, c) for b, c in zip(bodies, charsets)], dtype=object)
+
+
 def links_of(page: Column) -> Column:
     """ARRAY<STRING> of the addresses of a page's anchors, in order."""
     return F.regexp_extract_all(page, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?([^"'>\s]+)"""), F.lit(1))
