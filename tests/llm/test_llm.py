@@ -182,15 +182,20 @@ def test_history(spark):
     for options in ({}, {"chunk_rows": 4, "cells": 3}, {"cells": 0}):
         index = history.History.create(spark.createDataFrame(old, schema), **options)
         assert {r.id: r.matched for r in index.check(new_df).collect()} == want
-    # one call a batch gives the same as one call for all
-    index, got = history.History.create(spark.createDataFrame(old, schema)), {}
-    for part in (new[:50], new[50:]):
-        batch = spark.createDataFrame(part, schema)
-        checked = index.check(batch)
-        got |= {r.id: r.matched for r in checked.collect()}
-        index.append(batch.join(checked.where("accepted"), "id", "left_semi"))
+    # batches in turn give the same as one call for all, also when the index is opened again in between and rows are delivered again
+    index = history.History.create(spark.createDataFrame(old, schema), cells=3, chunk_rows=4)
+    parts = [(*r, i // 46) for i, r in enumerate(new)] + [(*new[3], 1), (*new[10], 1)]
+    batches = spark.createDataFrame(parts, schema + ", batch_no int")
+    got = {r.id: r.matched for r in history.check_batches(index, batches.where("batch_no = 0")).collect()}
+    index = history.History(spark, index.path, chunk_rows=4)
+    assert set(index.centres) == {4, 8} and len(index.centres[8]) == 3
+    for r in history.check_batches(index, batches.where("batch_no > 0")).collect():
+        assert got.setdefault(r.id, r.matched) == r.matched
     assert got == want
     assert index.check(new_df.limit(0)).count() == 0
+    # copies of one vector and instant meet others once
+    copies = [(f"c{i:02}", [], 5 * day, [1.0] * 8) for i in range(30)] + [("c50", [], 5 * day, [1.0] * 7 + [1.1])]
+    assert {r.id: r.matched for r in index.check(spark.createDataFrame(copies, schema)).collect()} == {c[0]: None if c[0] == "c00" else "c00" for c in copies}
 
 
 def test_url_key(spark):
