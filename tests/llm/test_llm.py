@@ -28,6 +28,10 @@ def test_disguise(spark):
     assert got["a", "title"].repaired == "Kartalya haberi" and got["c", "content"].repaired == "boş luk" and got["c", "title"].repaired == "ü üst"
     assert got["d", "title"].n_mixed == 1 and got["d", "title"].n_repaired == 0 and got["d", "title"].repaired == "Qonаk"
     assert got["e", "content"].repaired == "Kartalya ve Κartalyaspor"
+    # the vocabulary decides what is repaired, and what an ambiguous look-alike stands for
+    words = [("1", "Іspanak aldı", "ıspanak taze", None), ("2", "Іzmir yolu", "izmir izmir", None), ("3", "Qonаk", "qonak", None), ("4", "kıѕır döngü", None, None)]
+    amb = {(r.id, r.field): r.repaired for r in disguise.repair_disguises(spark.createDataFrame(words, "id string, title string, content string, location_text string")).collect()}
+    assert amb["1", "title"] == "Ispanak aldı" and amb["2", "title"] == "İzmir yolu" and amb["3", "title"] == "Qonak" and amb["4", "title"] == "kıѕır döngü"
     assert disguise.repair_disguises(df.limit(0)).count() == 0
 
 
@@ -179,7 +183,7 @@ def test_history(spark):
     new_df = spark.createDataFrame(new + [new[0], (None, [], None, None)], schema)
     want = _sequential(old, new)
     assert 20 < sum(v is not None for v in want.values()) < 91
-    for options in ({}, {"chunk_rows": 4, "cells": 3}, {"cells": 0}):
+    for options in ({}, {"chunk_rows": 4, "cells": 3, "handed_bytes": 0, "in_order_rows": 0}, {"cells": 0}):
         index = history.History.create(spark.createDataFrame(old, schema), **options)
         assert {r.id: r.matched for r in index.check(new_df).collect()} == want
     # batches in turn give the same as one call for all, also when the index is opened again in between and rows are delivered again

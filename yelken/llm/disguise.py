@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yelken.llm.plain import INVISIBLE, LOOKALIKES, ODD_SPACES, TURKISH, composed, lower_tr
-from yelken.session import table
+from yelken.session import stored, table
 
 FIELDS = ("title", "content", "location_text")
 _PLAIN_CHARS = "\\x{00}-\\x{7F}çğıöşüâîûÇĞİÖŞÜÂÎÛ‘’‚“”„‹›«»–—‒―−·•…€₺£°§©®™"
@@ -91,18 +91,43 @@ def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="__value").assign(__made=made, __wrong=wrong, __words=words)
 
 
+def skeleton(word: Column) -> Column:
+    """Lower case with dotted and dotless i as one: what a look-alike of i may stand for."""
+    return F.translate(F.lower(F.translate(word, "Iİ", "ıi")), "ı", "i")
+
+
 def _vocabulary(values: DataFrame) -> DataFrame:
-    """Distinct lower-case words in ordinary letters of all values. Map-side combined: the shuffle holds each word once a task."""
+    """(word, n): lower-case words in ordinary letters of all values with their counts. Map-side combined: the shuffle holds each word once a task."""
     letters = "".join(sorted(set(TURKISH)))
     lowered = F.lower(F.translate("__value", "Iİ", "ıi"))
-    return values.select(F.explode(F.array_distinct(F.split(lowered, f"[^{letters}]+"))).alias("__word")).where("__word != ''").distinct()
+    return values.select(F.explode(F.split(lowered, f"[^{letters}]+")).alias("word")).where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+_I_LIKE = "ІіΙι"  # look-alikes that may stand for either i
+
+
+def _substitute(word: str, known: str) -> str:
+    """The mixed word with its look-alikes replaced, those of i after the vocabulary's word, in the case they had."""
+    out = []
+    for c, k in zip(word, known):
+        if c in _I_LIKE:
+            out.append(("İ" if k == "i" else "I") if c.isupper() else k)
+        else:
+            out.append(LOOKALIKES.get(c, c))
+    return "".join(out)
+
+
+def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"__from": pdf["__from"], "__to": [_substitute(w, k) for w, k in zip(pdf["__from"], pdf["word"])]})
 
 
 def repair_disguises(df: DataFrame, key: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One row per (key, field) of ``df`` whose value is disguised: ``key``, field, repaired, other_forms, n_mixed, n_repaired.
 
     ``repaired`` has compatibility forms, separate accents, invisible characters and odd spaces made ordinary, and
-    look-alike letters replaced in mixed-script words whose result is in the vocabulary of all values (case ignored);
+    look-alike letters replaced in mixed-script words whose result is in the vocabulary of all values (case ignored; where a look-alike may stand
+    for dotted or dotless i, the more frequent word decides);
     other_forms tells whether it held any but look-alikes, n_mixed counts the mixed-script words, n_repaired those replaced. NULL and empty values, values that are ordinary, and
     NULL keys give no row; of several deliveries of one key the smallest repaired value stands. Columns other than key and fields are ignored.
     """
@@ -115,10 +140,14 @@ def repair_disguises(df: DataFrame, key: str = "id", fields: tuple[str, ...] = F
     looked = suspects.mapInPandas(_examine, suspects.drop("__value").schema.simpleString()[7:-1] + ", __made string, __wrong boolean, __words array<string>").where(
         "__wrong or size(__words) > 0"
     )
+    looked = stored(looked, "looked")  # the suspects' texts are examined once
     proposals = looked.select(F.explode("__words").alias("__from")).distinct()
-    proposals = proposals.withColumn("__to", F.translate("__from", "".join(LOOKALIKES), "".join(LOOKALIKES.values())))
-    proposals = proposals.withColumn("__word", F.lower(F.translate("__to", "Iİ", "ıi")))
-    known = proposals.join(_vocabulary(values), "__word", "left_semi").select("__from", "__to")
+    proposals = proposals.withColumn("__to", F.translate("__from", "".join(LOOKALIKES), "".join(LOOKALIKES.values()))).withColumn("__s", skeleton(F.col("__to")))
+    # letters that are no look-alike of i must be the vocabulary word's: they are compared with every other letter in its place
+    fixed = lambda of: F.transform(F.split("__from", ""), lambda c, i: F.when(c.isin(*_I_LIKE), "i").otherwise(F.substr(of, i + 1, F.lit(1))))
+    low = F.lower(F.translate("__to", "Iİ", "ıi"))
+    met = proposals.join(_vocabulary(values).withColumn("__s", skeleton(F.col("word"))), "__s").where((F.length("word") == F.length("__from")) & (F.array_join(fixed(low), "") == F.array_join(fixed(F.col("word")), "")))
+    known = met.groupBy("__from").agg(F.max_by("word", F.struct("n", "word")).alias("word")).mapInPandas(_choose, "__from string, __to string")
     flat = looked.select("__key", "field", "__made", "__wrong", F.explode_outer("__words").alias("__from")).join(known, "__from", "left")
     swaps = F.collect_list(F.when(F.col("__to").isNotNull(), F.struct("__from", "__to")))
     per_row = flat.groupBy("__key", "field", "__made", "__wrong").agg(F.count("__from").cast("int").alias("n_mixed"), F.count("__to").cast("int").alias("n_repaired"), F.array_sort(swaps).alias("__swaps"))
@@ -128,7 +157,7 @@ def repair_disguises(df: DataFrame, key: str = "id", fields: tuple[str, ...] = F
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, field) of every disguised value of news: one with other forms or with mixed-script words, whether the vocabulary put these right or
-    not. The rows thus follow from the script test; the counts are asked for so that the repair is made."""
+    """(id, field) of every value of news that the repair brings to another form. A mixed-script word counts where the vocabulary has what it
+    stands for; one it lacks is left as it is, and a value with nothing else is no row here (see repair_disguises: n_mixed > n_repaired)."""
     judged = repair_disguises(table(spark, sf_dir, "news"))
-    return judged.where(F.col("other_forms") | (F.col("n_repaired") > 0) | (F.col("n_mixed") > F.col("n_repaired"))).select("id", "field")
+    return judged.where(F.col("other_forms") | (F.col("n_repaired") > 0)).select("id", "field")

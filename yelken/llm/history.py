@@ -29,7 +29,9 @@ FIT_ROWS = 20_000  # vectors the cell centres are fitted on, at most; every row
 CHUNK_ROWS = 8_192  # rows of one bucket that meet in one task
 SLAB_BUCKETS = 10  # buckets a folder of the index
 FILE_ROWS = 1_000_000  # rows of an append that one task writes, about
+HANDED_BYTES = 32_000_000  # vectors of a batch, with their angles, that are handed to the tasks which scan history; beyond that both sides shuffle
 BROADCAST_ROWS = 200_000  # addresses of a batch that are sent to all tasks; beyond that the join shuffles
+IN_ORDER_ROWS, IN_ORDER_LINKS = 20_000, 1_000_000  # rows and links of one batch that are decided in order in one place; larger batches in rounds of joins
 
 
 def url_key(url: Column) -> Column:
@@ -125,11 +127,52 @@ def _probe(centres: dict[int, np.ndarray], min_cosine: float, window_us: int, li
     return run
 
 
+def _scan(asked: pd.DataFrame, min_cosine: float, window_us: int, links: bool):
+    """The same for held rows as they come from the cells, against all asked ones: nothing of the cells is shuffled."""
+    reach = math.acos(min_cosine) + 1e-6
+    groups = {}
+    for (dim, bucket), part in asked.groupby(["dim", "bucket"]):
+        groups[int(dim), int(bucket)] = (part["name"].to_numpy(), part["at"].to_numpy(np.int64), np.stack(part["vec"]), np.stack(part["angles"]))
+    around: dict[tuple[int, int], tuple | None] = {}
+
+    def askers(dim: int, bucket: int) -> tuple | None:
+        if (dim, bucket) not in around:
+            found = [groups[k] for i in (-1, 0, 1) if (k := (dim, bucket + i)) in groups]
+            around[dim, bucket] = tuple(np.concatenate(x) for x in zip(*found)) if found else None
+        return around[dim, bucket]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for (dim, bucket), held in pdf.groupby(["dim", "bucket"]):
+                asking = askers(int(dim), int(bucket))
+                if asking is None:
+                    continue
+                name, at, q, angles = asking
+                h_name, h_at, cell, angle = held["name"].to_numpy(), held["at"].to_numpy(np.int64), held["cell"].to_numpy(), held["angle"].to_numpy()
+                for start in range(0, len(name), 2048):
+                    part = slice(start, start + 2048)
+                    near = np.abs(at[part, None] - h_at[None, :]) <= window_us
+                    if angles.shape[1]:  # no member can be nearer than the gap between the angles to its cell's centre
+                        near &= (np.abs(angles[part][:, np.maximum(cell, 0)] - angle[None, :]) <= reach) | (cell < 0)[None, :]
+                    some, members = np.where(near.any(1))[0], np.where(near.any(0))[0]
+                    if len(some):
+                        h = np.stack(held["vec"].to_numpy()[members])
+                        i, j = np.nonzero(near[np.ix_(some, members)] & (q[part][some] @ h.T >= min_cosine - 1e-9))
+                        if len(i):
+                            out.append(pd.DataFrame({"name": name[part][some[i]], "other": h_name[members[j]]}))
+            made = pd.concat(out) if out else pd.DataFrame({"name": [], "other": []}, dtype=object)
+            yield made if links else made.groupby("name", as_index=False)["other"].min()
+
+    return run
+
+
 class History:
     """Index of accepted records in ``path``. Records: id STRING, urls ARRAY<STRING>, at BIGINT (epoch microseconds), vec ARRAY<FLOAT>."""
 
-    def __init__(self, spark: SparkSession, path: str, min_cosine: float = MIN_COSINE, window_days: float = WINDOW_DAYS, chunk_rows: int = CHUNK_ROWS):
+    def __init__(self, spark: SparkSession, path: str, min_cosine: float = MIN_COSINE, window_days: float = WINDOW_DAYS, chunk_rows: int = CHUNK_ROWS, handed_bytes: int = HANDED_BYTES, in_order_rows: int = IN_ORDER_ROWS):
         """Opens the index in ``path``, which ``create`` made."""
+        self.handed_bytes, self.in_order_rows = handed_bytes, in_order_rows
         self.spark, self.path, self.min_cosine, self.chunk_rows = spark, path, min_cosine, chunk_rows
         self.window_us = int(window_days * 86_400_000_000)
         self.centres: dict[int, np.ndarray] = {}
@@ -161,19 +204,28 @@ class History:
     def append(self, records: DataFrame) -> None:
         """Add accepted records to the cells and addresses. One slab may hold most rows: it is written by as many tasks as its rows ask for."""
         addresses = records.where("id is not null").select("id", F.explode("urls").alias("url")).select("id", url_key(F.col("url")).alias("key")).where("key is not null").distinct()
-        addresses.sortWithinPartitions("key").write.mode("append").parquet(f"{self.path}/urls")
         cells = stored(self._cells(records).dropDuplicates(["id"]), "appended")
-        tasks = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / FILE_ROWS))
-        sizes = cells.groupBy("slab").agg(F.count("*").alias("n"))  # a row a slab
-        spread = cells.join(sizes, "slab").withColumn("__task", tasks).drop("n")
-        spread.repartition("slab", "__task").drop("__task").sortWithinPartitions("slab", "bucket", "cell").write.mode("append").partitionBy("slab").parquet(f"{self.path}/cells")
+        small = cells.count() <= FILE_ROWS
+        (addresses.coalesce(1) if small else addresses).sortWithinPartitions("key").write.mode("append").parquet(f"{self.path}/urls")
+        if small:
+            spread = cells.coalesce(1)
+        else:
+            sizes = cells.groupBy("slab").agg(F.count("*").alias("n"))  # a row a slab
+            spread = cells.join(sizes, "slab").withColumn("__task", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / FILE_ROWS))).drop("n")
+            spread = spread.repartition("slab", "__task").drop("__task")
+        spread.sortWithinPartitions("slab", "bucket", "cell").write.mode("append").partitionBy("slab").parquet(f"{self.path}/cells")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def _meet(self, asked: DataFrame, held: DataFrame, links: bool = False) -> DataFrame:
         """(name, other): rows that agree in vector and time. asked: name, at, dim, angles, vec, bucket; held: name, at, dim, cell, angle, vec, bucket. A bucket of
-        more than chunk_rows held rows is cut into chunks of neighbouring cells, a larger cell into parts; a row is sent to the chunks that hold a cell its angles admit."""
+        more than chunk_rows held rows is cut into chunks of neighbouring cells, a larger cell into parts; a row is sent to the chunks that hold a cell its angles admit. Asked rows of up to HANDED_BYTES are handed to
+        the tasks that read the held ones instead, which then don't move; both ways give the same."""
+        size = asked.agg(F.sum(8 * (F.size("vec") + F.size("angles")) + 100)).first()[0] or 0
+        if size <= self.handed_bytes:  # a batch is small against history: its vectors go to the cells
+            handed = asked.select("name", "at", "dim", "bucket", "vec", "angles").toPandas()
+            return held.select("name", "at", "dim", "cell", "angle", "vec", "bucket").mapInPandas(_scan(handed, self.min_cosine, self.window_us, links), "name string, other string")
         reach = math.acos(self.min_cosine) + 1e-6
         held = held.select(*[F.col(c).alias(c) for c in ("name", "at", "dim", "cell", "angle", "vec", "bucket")])  # of its own, as a batch also meets itself
         sizes = held.groupBy("dim", "bucket", "cell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))  # a row a cell of a bucket
@@ -210,9 +262,11 @@ class History:
         asked_urls = F.broadcast(urls) if urls.count() <= BROADCAST_ROWS else urls
         of_class = rows.select("id", F.col("class").alias("name"))
         by_vector = self._meet(classes, kept).groupBy("name").agg(F.min("other").alias("other")).join(of_class, "name").select("id", "other")
-        history = by_vector.unionByName(old.join(asked_urls, "key").select("id", "other")).where("other < id")
-        history = stored(history.groupBy("id").agg(F.min("other").alias("old")), "history-hits")
+        history = by_vector.unionByName(old.join(asked_urls, "key").select("id", "other")).where("other < id").groupBy("id").agg(F.min("other").alias("old"))
         ids = batch.select("id").distinct()
+        if rows.count() <= self.in_order_rows and (made := self._in_order(ids, rows, classes, urls, history)) is not None:
+            return made
+        history = stored(history, "history-hits")
         free = stored(ids.join(history, "id", "left_anti").join(rows.select("id", "class"), "id", "left"), "free")
         open_classes = classes.join(free.select("class").distinct(), "class", "left_semi")
         links = self._meet(open_classes, open_classes, links=True).where("name <> other").select(F.col("name").alias("x"), F.col("other").alias("y")).distinct()
@@ -226,6 +280,35 @@ class History:
         out = ids.join(history, "id", "left").join(best, "id", "left").select("id", F.least("old", "new").alias("matched"))
         return out.withColumn("accepted", F.col("matched").isNull())
 
+    def _in_order(self, ids: DataFrame, rows: DataFrame, classes: DataFrame, urls: DataFrame, history: DataFrame) -> DataFrame | None:
+        """The result of check() for a batch of proven size, its rows taken one after another; None where it has more rows or links than that."""
+        names = [r.id for r in ids.limit(IN_ORDER_ROWS + 1).collect()]
+        keys = [tuple(r) for r in urls.select("id", "key").limit(IN_ORDER_LINKS + 1).collect()]
+        pairs = self._meet(classes, classes, links=True).where("name < other").select("name", "other").limit(IN_ORDER_LINKS + 1).collect()
+        if len(names) > IN_ORDER_ROWS or max(len(keys), len(pairs)) > IN_ORDER_LINKS:
+            return None
+        old = {r.id: r.old for r in history.collect()}  # at most a row a name
+        near: dict[str, list[str]] = {}
+        for r in pairs:
+            near.setdefault(r.name, []).append(r.other)
+            near.setdefault(r.other, []).append(r.name)
+        of: dict[str, list[tuple[str, str]]] = {}
+        for i, c in rows.select("id", "class").collect():
+            of.setdefault(i, []).append(("class", c))
+        for i, k in keys:
+            of.setdefault(i, []).append(("key", k))
+        first: dict[tuple[str, str], str] = {}  # the first accepted row of each class and address
+        out = []
+        for i in sorted(names):
+            groups = of.get(i, [])
+            asked = [*groups, *(("class", y) for kind, c in groups if kind == "class" for y in near.get(c, []))]
+            matched = min((m for m in (old.get(i), *(first.get(g) for g in asked)) if m is not None), default=None)
+            if matched is None:
+                for g in groups:
+                    first.setdefault(g, i)
+            out.append((i, matched, matched is None))
+        return self.spark.createDataFrame(out, "id string, matched string, accepted boolean")
+
     @staticmethod
     def _greedy(free: DataFrame, links: DataFrame, urls: DataFrame) -> DataFrame:
         """The rows (id, class) that repeat no earlier accepted one: rounds of the lexicographically first maximal independent set. Rows of one class or address
@@ -266,7 +349,7 @@ def check_batches(history: History, batches: DataFrame, batch: str = "batch_no")
     out = None
     for n in numbers:
         rows = batches.where(F.col(batch) == n).drop(batch)
-        checked = stored(history.check(rows), f"checked-{n}")
+        checked = stored(history.check(rows), "checked")
         history.append(rows.join(checked.where("accepted").select("id"), "id", "left_semi"))
         checked = checked.withColumn(batch, F.lit(n))
         out = checked if out is None else out.unionByName(checked)
